@@ -1,0 +1,241 @@
+"""Exact circuit-breaker state of every call, also when one client is hot.
+
+A client's calls are cut into time chunks. Each chunk is reduced, on its own, to
+what it does to any entry state; one short pass per client over those chunk rows
+gives each chunk its entry state; a second pass over the chunks then marks the
+calls. No task ever holds more than one client's chunk of calls or one client's
+chunk summaries.
+
+Entry and exit states are (open, count, last): ``last`` is the time of the last
+failure and matters only while open.
+"""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from sitewise import dims
+
+_US = 1000000
+
+
+class CallRun:
+    """One ordered run of calls with the jump table of the breaker."""
+
+    def __init__(self, at, failed, failures, recovery):
+        self.at, self.failed = at, failed
+        self.failures, self.recovery = failures, recovery
+        size = len(at)
+        index = np.arange(size)
+        self.run_start = np.maximum.accumulate(np.where(failed, -1, index)) + 1
+        streak = index - self.run_start + 1
+        # first index at or after i whose plain streak is exactly the limit
+        opens = np.where(failed & (streak == failures), index, size)
+        self.next_open = np.append(
+            np.minimum.accumulate(opens[::-1])[::-1] if size else [], size
+        ).astype(np.int64)
+        run_end = np.where(failed, size, index)
+        self.run_end = (
+            np.minimum.accumulate(run_end[::-1])[::-1] if size else run_end
+        )
+        self._exits = {}
+
+    def opening(self, start, count):
+        """Index of the call that opens the breaker, from ``start`` with ``count``."""
+        end = self.run_end[start]
+        if end - start + count >= self.failures:
+            return start + self.failures - count - 1
+        return int(self.next_open[end])
+
+    def resume(self, last):
+        """First call later than ``recovery`` after the failure at ``last``."""
+        return int(np.searchsorted(self.at, last + self.recovery, side="right"))
+
+    def segments(self, open_, count, last):
+        """(first, past, count before it) of each stretch of calls that are sent,
+        and at the end the exit state."""
+        size = len(self.at)
+        start = 0
+        if open_:
+            start, count = self.resume(last), 0
+            if start == size:
+                return [], (True, self.failures, last)
+        out = []
+        while True:
+            stop = self.opening(start, count)
+            if stop >= size:
+                out.append((start, size, count))
+                return out, self._closed(start, count)
+            out.append((start, stop + 1, count))
+            last = int(self.at[stop])
+            start, count = self.resume(last), 0
+            if start == size:
+                return out, (True, self.failures, last)
+
+    def _closed(self, start, count):
+        size = len(self.at)
+        if not self.failed[-1]:
+            return (False, 0, 0)
+        first = self.run_start[-1]
+        if first > start:
+            return (False, int(size - first), 0)
+        return (False, int(size - start + count), 0)
+
+    def exit_from(self, start):
+        """Exit state of a fresh start at ``start``; paths that meet are shared."""
+        path = []
+        while start not in self._exits:
+            path.append(start)
+            stop = self.opening(start, 0)
+            if stop >= len(self.at):
+                self._exits[start] = self._closed(start, 0)
+                break
+            resumed = self.resume(int(self.at[stop]))
+            if resumed == len(self.at):
+                self._exits[start] = (True, self.failures, int(self.at[stop]))
+                break
+            start = resumed
+        found = self._exits[start]
+        for index in path:
+            self._exits[index] = found
+        return found
+
+    def marks(self, open_, count, last):
+        """Per call: sent, failure count after it, open after it."""
+        size = len(self.at)
+        sent = np.zeros(size, bool)
+        counts = np.full(size, self.failures)
+        opened = np.ones(size, bool)
+        parts, state = self.segments(open_, count, last)
+        for first, past, before in parts:
+            index = np.arange(first, past)
+            began = np.maximum(self.run_start[first:past], first)
+            n = index - began + 1 + np.where(began == first, before, 0)
+            n = np.where(self.failed[first:past], n, 0)
+            sent[first:past] = True
+            counts[first:past] = n
+            opened[first:past] = n >= self.failures
+        return sent, counts, opened, state
+
+
+def _run_of(pdf, failures, recovery):
+    pdf = pdf.sort_values(["at", "event_id"], kind="stable")
+    run = CallRun(
+        pdf["at"].to_numpy(), pdf["failed"].to_numpy(bool), failures, recovery * _US
+    )
+    return pdf, run
+
+
+_SUMMARY = (
+    "client {client}, chunk long, closed_open array<boolean>, closed_count array<int>, "
+    "closed_last array<long>, from_at array<long>, from_open array<boolean>, "
+    "from_count array<int>, from_last array<long>"
+)
+
+_SUMMARY_COLUMNS = [field.split()[0] for field in _SUMMARY.split(", ")]
+
+
+def _summarise(failures, recovery, chunk):
+    def summarise(pdf):
+        pdf, run = _run_of(pdf, failures, recovery)
+        closed = [run.segments(False, count, 0)[1] for count in range(failures)]
+        # an open breaker from the chunk before ends inside the first minute
+        border = int(pdf["chunk"].iloc[0]) * chunk * _US + recovery * _US
+        last = int(np.searchsorted(run.at, border, side="right"))
+        steps = []
+        for index in range(min(last + 1, len(run.at))):
+            if index and run.at[index] == run.at[index - 1]:
+                continue
+            state = run.exit_from(index)
+            steps.append((int(run.at[index]), state))
+        # equal neighbours say the same for any earlier time: keep the last one
+        kept = [
+            s for i, s in enumerate(steps) if i + 1 == len(steps) or steps[i + 1][1] != s[1]
+        ]
+        row = [pdf["client"].iloc[0], int(pdf["chunk"].iloc[0])]
+        row += [[s[k] for s in closed] for k in range(3)]
+        row += [[at for at, _ in kept]]
+        row += [[s[k] for _, s in kept] for k in range(3)]
+        return pd.DataFrame([row], columns=_SUMMARY_COLUMNS)
+
+    return summarise
+
+
+def _entries(failures, recovery):
+    def entries(pdf):
+        pdf = pdf.sort_values("chunk")
+        state = (False, 0, 0)
+        rows = []
+        for row in pdf.itertuples(index=False):
+            rows.append((row.client, row.chunk, *state))
+            if not state[0]:
+                state = tuple(
+                    col[state[1]]
+                    for col in (row.closed_open, row.closed_count, row.closed_last)
+                )
+                continue
+            free_from = state[2] + recovery * _US
+            # first kept step whose time is past the recovery
+            at = int(np.searchsorted(np.asarray(row.from_at), free_from, side="right"))
+            if at < len(row.from_at):
+                state = (row.from_open[at], row.from_count[at], row.from_last[at])
+        return pd.DataFrame(rows, columns=["client", "chunk", "_open", "_count", "_last"])
+
+    return entries
+
+
+def circuit_states(
+    calls,
+    failures=dims.CIRCUIT_FAILURES,
+    recovery=dims.CIRCUIT_RECOVERY_SECONDS,
+    chunk_seconds=3600,
+):
+    """Each call with ``sent``, ``failure_count`` and ``open`` after it.
+
+    calls: (event_id long, client, ts, failed boolean). ``chunk_seconds`` must not
+    be shorter than ``recovery``.
+    """
+    if chunk_seconds < recovery:
+        raise ValueError("chunk_seconds must be at least the recovery time")
+    client = calls.schema["client"].dataType.simpleString()
+    keyed = calls.select(
+        "event_id",
+        "client",
+        F.unix_micros("ts").alias("at"),
+        "failed",
+        F.floor(F.unix_seconds("ts") / chunk_seconds).cast("long").alias("chunk"),
+    )
+    summaries = keyed.groupBy("client", "chunk").applyInPandas(
+        _summarise(failures, recovery, chunk_seconds), _SUMMARY.format(client=client)
+    )
+    entries = summaries.groupBy("client").applyInPandas(
+        _entries(failures, recovery),
+        f"client {client}, chunk long, _open boolean, _count int, _last long",
+    )
+
+    def mark(pdf):
+        pdf, run = _run_of(pdf, failures, recovery)
+        entry = pdf.iloc[0]
+        sent, counts, opened, _ = run.marks(
+            bool(entry["_open"]), int(entry["_count"]), int(entry["_last"])
+        )
+        return pd.DataFrame(
+            {
+                "event_id": pdf["event_id"],
+                "client": pdf["client"],
+                "failed": pdf["failed"],
+                "sent": sent,
+                "failure_count": counts,
+                "open": opened,
+            }
+        )
+
+    return (
+        keyed.join(entries, ["client", "chunk"])
+        .groupBy("client", "chunk")
+        .applyInPandas(
+            mark,
+            f"event_id long, client {client}, failed boolean, sent boolean, "
+            "failure_count long, open boolean",
+        )
+    )

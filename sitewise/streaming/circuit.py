@@ -1,0 +1,57 @@
+"""Circuit state per client as a keyed streaming state."""
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from sitewise import dims
+from sitewise.operators.circuit import CallRun
+
+
+def circuit_stream(
+    calls,
+    failures=dims.CIRCUIT_FAILURES,
+    recovery=dims.CIRCUIT_RECOVERY_SECONDS,
+):
+    """Calls with ``sent``, ``failure_count`` and ``open``; three values of state.
+
+    Calls are handled in time order within a micro-batch, whose size the source
+    bounds (maxFilesPerTrigger), and in arrival order across micro-batches. For a
+    whole table with a hot client use ``operators.circuit.circuit_states``.
+    """
+    client = calls.schema["client"].dataType.simpleString()
+
+    def advance(key, batches, state):
+        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        entry = state.get if state.exists else (False, 0, 0)
+        run = CallRun(
+            pdf["at"].to_numpy(),
+            pdf["failed"].to_numpy(bool),
+            failures,
+            recovery * 1000000,
+        )
+        sent, counts, opened, after = run.marks(*entry)
+        state.update((bool(after[0]), int(after[1]), int(after[2])))
+        yield pd.DataFrame(
+            {
+                "event_id": pdf["event_id"],
+                "client": pdf["client"],
+                "failed": pdf["failed"],
+                "sent": sent,
+                "failure_count": counts,
+                "open": opened,
+            }
+        )
+
+    return (
+        calls.select("event_id", "client", F.unix_micros("ts").alias("at"), "failed")
+        .groupBy("client")
+        .applyInPandasWithState(
+            advance,
+            f"event_id long, client {client}, failed boolean, sent boolean, "
+            "failure_count long, open boolean",
+            "open boolean, count int, last long",
+            "append",
+            GroupStateTimeout.NoTimeout,
+        )
+    )
