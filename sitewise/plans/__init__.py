@@ -1 +1,11 @@
-"""Composed plans and the registered queries with their check SQL."""
+"""Registered queries of the engine."""
+
+from importlib import import_module
+
+MODULES = ("url_queries", "site_queries")
+
+
+def load_all():
+    """Import every plan module, so that the registry is full."""
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
