@@ -17,20 +17,20 @@ def _rule_sql():
 QUALITY_RULES = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 3, 1))) AS i, ws FROM w),
 s AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS gram FROM g),
 r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM s),
 p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
       FROM r, (SELECT unnest(range(0, 5)) AS k) WHERE n > 1 GROUP BY doc_id),
 c AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
-             coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+             coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
              len(ls)::BIGINT AS n_lines,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
-             1 + len(list_filter(ws, x -> x IN ({", ".join(repr(y) for x in STOP_WORDS for y in (x, x.capitalize()))}))) AS n_stop_words_and_one,
-             len(list_filter(ls, x -> regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
-             len(list_filter(ls, x -> regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines
+             1 + len(list_filter(ws, lambda x: x IN ({", ".join(repr(y) for x in STOP_WORDS for y in (x, x.capitalize()))}))) AS n_stop_words_and_one,
+             len(list_filter(ls, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS n_ellipsis_lines,
+             len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS n_bullet_lines
       FROM w),
 j AS (SELECT c.*, coalesce(p.n_repeat_words, 0)::BIGINT AS n_repeat_words FROM c LEFT JOIN p USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
