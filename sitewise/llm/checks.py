@@ -68,3 +68,19 @@ best AS (SELECT page_id, arg_min(pattern, level) AS pattern, arg_min(valid_from,
 SELECT k.page_id, url, fetch_date, pattern IS NOT NULL AS blocked, pattern AS matched_pattern, since AS listed_since
 FROM keyed k LEFT JOIN best b ON k.page_id = b.page_id
 """
+
+# The base-32 form of a SHA-1: each of its 32 digits is 5 of the 160 bits.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, h, unhex(sha1(h))::BIT::VARCHAR AS bits FROM p),
+b AS (SELECT page_id, n, h,
+        list_aggregate(list_transform(range(0, 32), lambda i:
+          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + list_sum(list_transform(range(0, 5), lambda k:
+              substr(bits, (5 * i + k + 1)::INT, 1)::INT * (16 >> k::INT)))::INT, 1)), 'string_agg', '') AS digest,
+        max(page_id) OVER (PARTITION BY h) AS holder FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> holder THEN holder END AS refers_to
+FROM b
+"""

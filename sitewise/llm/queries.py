@@ -1,11 +1,15 @@
 """Registered queries of the operators: whole tables in, whole results out."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from sitewise.llm import checks
 from sitewise.llm.common import table
+from sitewise.llm.packing import pack_documents
 from sitewise.llm.quality_rules import quality_rules
+from sitewise.llm.token_counts import token_counts
 from sitewise.llm.url_filters import filter_urls, url_keys
+from sitewise.llm.warc import archive_and_read
 
 QUERIES = {}
 CHECKS = {}
@@ -21,6 +25,18 @@ def query(name, sql=None):
     return register
 
 
+@query("op2_warc", checks.WARC)
+def op2_warc(spark, folder):
+    return archive_and_read(table(spark, folder, "pages"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, folder):
+    """Tokens of every line of every document."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 @query("op5_quality_rules", checks.QUALITY_RULES)
 def op5_quality_rules(spark, folder):
     return quality_rules(table(spark, folder, "documents")).select(
@@ -56,3 +72,9 @@ def op9_url_filters(spark, folder):
         .alias("listed"),
     )
     return filter_urls(captures, entries)
+
+
+@query("op10_packing")
+def op10_packing(spark, folder):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(table(spark, folder, "documents"), tokenizer)
