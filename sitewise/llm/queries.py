@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from sitewise.llm import checks
 from sitewise.llm.common import table
 from sitewise.llm.packing import pack_documents
+from sitewise.llm.pii import find_pii
 from sitewise.llm.quality_rules import quality_rules
 from sitewise.llm.token_counts import token_counts
+from sitewise.llm.toxicity import score_toxicity, train
 from sitewise.llm.url_filters import filter_urls, url_keys
 from sitewise.llm.warc import archive_and_read
 
@@ -25,6 +27,13 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_toxicity")
+def op1_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, folder, "labels"))
+    return score_toxicity(docs, model).drop("text")
+
+
 @query("op2_warc", checks.WARC)
 def op2_warc(spark, folder):
     return archive_and_read(table(spark, folder, "pages"))
@@ -51,6 +60,12 @@ def op5_quality_rules(spark, folder):
     )
 
 
+@query("op8_pii")
+def op8_pii(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return find_pii(docs).drop("text", "clean_text")
+
+
 @query("op9_url_filters", checks.URL_FILTERS)
 def op9_url_filters(spark, folder):
     """Captures: every page, fetched on a day of January 2024 set by its id. List:
