@@ -8,6 +8,7 @@ from sitewise.llm.common import table
 from sitewise.llm.packing import pack_documents
 from sitewise.llm.pii import find_pii
 from sitewise.llm.quality_rules import quality_rules
+from sitewise.llm.suffix_dedup import remove_repeats
 from sitewise.llm.token_counts import token_counts
 from sitewise.llm.toxicity import score_toxicity, train
 from sitewise.llm.url_filters import filter_urls, url_keys
@@ -39,6 +40,11 @@ def op2_warc(spark, folder):
     return archive_and_read(table(spark, folder, "pages"))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, folder):
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark, folder):
     """Tokens of every line of every document."""
