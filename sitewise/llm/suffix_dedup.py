@@ -1,6 +1,7 @@
 """Suffix-array removal of byte strings that an earlier document holds."""
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from sitewise.llm.common import ship, written
 
 #: Stands for a null id: later than every other document.
 _LAST = np.iinfo(np.int64).max
-_ANCHOR = 16
+_ANCHOR = 24
 
 
 def words_at(data, order="<"):
@@ -20,13 +21,16 @@ def words_at(data, order="<"):
 
 
 def anchors(data, length):
-    """Per position the smallest hash of a 16-byte string inside the ``length``
+    """Per position the smallest hash of a 24-byte string inside the ``length``
     bytes from there. Equal strings have equal anchors, and neighbours mostly the
     same one, so runs of positions travel together."""
     low = words_at(data)
-    mixed = low[:-8] * np.uint64(0x9E3779B97F4A7C15)
+    mixed = low[:-16] * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    mixed += low[8:]
+    mixed += low[8:-8]
+    mixed *= np.uint64(0x94D049BB133111EB)
+    mixed ^= mixed >> np.uint64(30)
+    mixed += low[16:]
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
     span, reach = length - _ANCHOR + 1, 1
@@ -144,17 +148,16 @@ def window_runs(hashes, wanted, doc_of):
     return first, after - first
 
 
-def earlier(data, starts, counts, docs, length):
-    """Mask over the windows of the runs: a document with a smaller id holds it.
+def sorted_windows(data, starts, counts, docs, length):
+    """(keys, smallest document) of the different windows of some runs, sorted, and
+    which of them each window is.
 
-    ``starts`` and ``counts`` are runs of windows in ``data``; a run's text is its
-    windows and ``length - 1`` bytes more. The texts are joined, so the suffix
-    array is that of one shard.
+    A run's text is its ``counts`` windows and ``length - 1`` bytes more. The texts
+    are joined; their suffix array and common prefixes tell equal windows.
     """
     text, begins = gathered(data, starts, counts + length - 1)
     n = len(text) - 16
-    first = np.cumsum(counts) - counts
-    window = np.arange(int(counts.sum())) + np.repeat(begins - first, counts)
+    window = spread(begins, counts)
     ok = np.zeros(n, bool)
     ok[window] = True
     owner = np.zeros(n, np.int64)
@@ -162,10 +165,50 @@ def earlier(data, starts, counts, docs, length):
     at, label = classes(text, n, ok, length)
     heads = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
     least = np.minimum.reduceat(owner[at], heads)
-    late = np.zeros(n, bool)
-    late[at] = owner[at] > np.repeat(least, np.diff(np.r_[heads, len(at)]))
-    keys = np.stack([words_at(text, ">")[np.minimum(at[heads] + k, n + 7)] for k in _offsets(length)], axis=1)
-    return late[window], keys, least
+    of = np.empty(n, np.int64)
+    of[at] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(at)]))
+    return window_keys(text, at[heads], length), least, of[window]
+
+
+def window_keys(data, at, length):
+    big = words_at(data, ">")
+    return np.stack([big[at + k] for k in _offsets(length)], axis=1)
+
+
+def late_windows(data, starts, counts, docs, length, piece_bytes=2 << 20):
+    """Mask over the windows of the runs: a document with a smaller id holds it.
+
+    Runs of equal text stand for one another, with their smallest document. A text
+    whose anchor no other text has shares no window with another; the others are
+    sorted in pieces, whose tables are merged by binary search.
+    """
+    sizes = counts + length - 1
+    place = {}
+    text_of = np.array([place.setdefault(data[a:b], len(place)) for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
+    least = np.full(len(place), _LAST)
+    np.minimum.at(least, text_of, docs)
+    own = np.empty(len(place), np.int64)
+    own[text_of[::-1]] = np.arange(len(text_of))[::-1]
+    text, begins = gathered(data, starts[own], sizes[own])
+    text += bytes(length)
+    counted = counts[own]
+    first = np.cumsum(counted) - counted
+    smallest = np.repeat(least, counted)
+    hashes = anchors(text, length)[begins]
+    open_ = np.flatnonzero(repeated(hashes, np.arange(len(hashes))))
+    if len(open_):
+        piece = np.cumsum(sizes[own[open_]]) // piece_bytes
+        cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+        pieces = [open_[a:b] for a, b in zip(cuts, [*cuts[1:], len(open_)])]
+        sorted_ = [sorted_windows(text, begins[p], counted[p], least[p], length) for p in pieces]
+        tables = [(keys, found) for keys, found, _ in sorted_]
+        while len(tables) > 1:
+            tables = [merge(*tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+        keys, found = tables[0]
+        for p, (mine, _, of) in zip(pieces, sorted_):
+            known = found if len(pieces) == 1 else found[search(keys, mine)]
+            smallest[spread(first[p], counted[p])] = known[of]
+    return smallest[spread(first[text_of], counts)] < np.repeat(docs, counts)
 
 
 def _offsets(length):
@@ -203,238 +246,276 @@ def merge(a, b):
     return np.insert(a[0], at[new], b[0][new], axis=0), np.insert(least, at[new], b[1][new])
 
 
-def pack_runs(docs, starts, counts, text):
-    """One blob of runs: columns first, then their text."""
-    squeeze = zstandard.ZstdCompressor(level=5)
-    head = np.stack([np.diff(docs, prepend=0), np.diff(starts, prepend=0), counts]).astype("<i8")
-    # little numbers: bytes of equal weight side by side compress away
-    planes = np.ascontiguousarray(head.view(np.uint8).reshape(3, len(docs), 8).transpose(0, 2, 1))
-    return squeeze.compress(np.int64(len(docs)).tobytes() + planes.tobytes()), squeeze.compress(text)
-
-
-def unpack_runs(head, text):
-    expand = zstandard.ZstdDecompressor()
-    raw = expand.decompress(head)
-    n = int(np.frombuffer(raw[:8], np.int64)[0])
-    planes = np.frombuffer(raw[8:], np.uint8).reshape(3, 8, n).transpose(0, 2, 1)
-    columns = np.ascontiguousarray(planes).view("<i8").reshape(3, n)
-    return np.cumsum(columns[0]), np.cumsum(columns[1]), columns[2].copy(), expand.decompress(text)
-
-
-_SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
-_BLOBS = "bucket int, head binary, body binary, doc_id long, start long, count long"
-
-
-def _spans(docs, starts, counts):
-    return [pa.array(x, pa.int64()) for x in (docs, starts, counts)]
-
-
-def _shard_rows(texts, length, buckets):
-    """Rows of one shard of (doc, bytes): spans found within it, and blobs of runs
-    of the other windows, by bucket of their anchor."""
-    sizes = np.array([len(t) for _, t in texts], np.int64)
-    ids = np.array([d for d, _ in texts], np.int64)
-    data = b"".join(t for _, t in texts) + bytes(length + 16)
-    n = int(sizes.sum())
-    begins = np.cumsum(sizes) - sizes
-    doc_of = np.repeat(np.arange(len(sizes)), sizes)
-    whole = np.arange(n) + length <= np.repeat(begins + sizes, sizes)
-    if not whole.any():
-        return
-    hashes = anchors(data, length)[:n]
-    first, count = window_runs(hashes, whole, doc_of)
-    late = np.zeros(n, bool)
-    some = repeated(hashes[first], ids[doc_of[first]])
-    if some.any():
-        a, c = first[some], count[some]
-        found, _, _ = earlier(data, a, c, ids[doc_of[a]], length)
-        late[np.arange(len(found)) + np.repeat(a - (np.cumsum(c) - c), c)] = found
-        a, c = runs_of_windows(late, doc_of)
-        yield [
-            pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.binary()),
-            *_spans(ids[doc_of[a]], a - begins[doc_of[a]], c),
-        ]
-        first, count = window_runs(hashes, whole & ~late, doc_of)
-    bucket = (hashes[first] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    first, count, bucket = first[order], count[order], bucket[order]
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    rows = []
-    for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
-        s, c = first[a:b], count[a:b]
-        text, _ = gathered(data, s, c + length - 1)
-        rows.append((int(bucket[a]), *pack_runs(ids[doc_of[s]], s - begins[doc_of[s]], c, text[:-16])))
-    none = pa.nulls(len(rows), pa.int64())
-    yield [
-        pa.array([r[0] for r in rows], pa.int32()),
-        pa.array([r[1] for r in rows], pa.binary()),
-        pa.array([r[2] for r in rows], pa.binary()),
-        none, none, none,
-    ]
-
-
-def runs_of_windows(mask, doc_of):
-    """Runs of a mask that stay within one document."""
-    cut = np.r_[True, doc_of[1:] != doc_of[:-1]]
+def packed(columns):
+    """Columns of whole numbers as one blob: differences, bytes of equal weight side
+    by side, compressed."""
+    table = np.stack([np.diff(np.asarray(c, np.int64), prepend=0) for c in columns]).astype("<i8")
+    n = table.shape[1]
+    planes = np.ascontiguousarray(table.view(np.uint8).reshape(len(columns), n, 8).transpose(0, 2, 1))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(columns), n]).tobytes() + planes.tobytes())
+
+
+def unpacked(blob):
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    k, n = np.frombuffer(raw[:16], np.int64)
+    planes = np.frombuffer(raw[16:], np.uint8).reshape(k, 8, n).transpose(0, 2, 1)
+    return np.cumsum(np.ascontiguousarray(planes).view("<i8").reshape(k, n), axis=1)
+
+
+def runs_of_windows(mask, of):
+    """(first, count) of the runs of a mask that stay within one value of ``of``."""
+    cut = np.r_[True, of[1:] != of[:-1]]
     first = np.flatnonzero(mask & (cut | ~np.r_[False, mask[:-1]]))
     ends = np.flatnonzero(mask & np.r_[cut[1:] | ~mask[1:], True])
     return first, ends - first + 1
 
 
-def _shards(length, buckets, shard_bytes):
-    names = [x.split()[0] for x in _BLOBS.split(", ")]
+def spread(first, count):
+    """Every position of the runs."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+class Shard:
+    """Texts sorted together: their bytes and where each window's anchor is."""
+
+    def __init__(self, ids, sizes, body, length):
+        self.ids, sizes = np.asarray(ids, np.int64), np.asarray(sizes, np.int64)
+        self.data = zstandard.ZstdDecompressor().decompress(body) + bytes(length + 16)
+        n = int(sizes.sum())
+        self.begins = np.cumsum(sizes) - sizes
+        self.doc_of = np.repeat(np.arange(len(sizes)), sizes)
+        self.whole = np.arange(n) + length <= np.repeat(self.begins + sizes, sizes)
+        self.hashes = anchors(self.data, length)[:n] if n else np.empty(0, np.uint64)
+        self.first, self.count = window_runs(self.hashes, self.whole, self.doc_of) if n else (np.empty(0, np.int64),) * 2
+        values = np.sort(self.hashes[self.first])
+        self.anchors = values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+_TEXTS = "shard string, ids array<bigint>, sizes array<bigint>, body binary"
+
+
+def _shards(shard_bytes):
+    """Rows of texts, ``shard_bytes`` at a time (or one longer text)."""
+
+    def row(held):
+        body = zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in held))
+        ids = pa.array([[d for d, _ in held]], pa.list_(pa.int64()))
+        sizes = pa.array([[len(t) for _, t in held]], pa.list_(pa.int64()))
+        name = pa.array([uuid.uuid4().hex])
+        return pa.RecordBatch.from_arrays([name, ids, sizes, pa.array([body])], ["shard", "ids", "sizes", "body"])
 
     def shards(batches):
         held, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 data = (text.as_py() or "").encode()
-                if len(data) < length:
-                    continue
-                held.append((_LAST if doc_id.as_py() is None else doc_id.as_py(), data))
+                held.append((doc_id.as_py(), data))
                 size += len(data)
                 if size >= shard_bytes:
-                    for row in _shard_rows(held, length, buckets):
-                        yield pa.RecordBatch.from_arrays(row, names)
+                    yield row(held)
                     held, size = [], 0
         if held:
-            for row in _shard_rows(held, length, buckets):
-                yield pa.RecordBatch.from_arrays(row, names)
+            yield row(held)
 
     return shards
 
 
-def _across(length, piece_bytes=4 << 20):
-    def across(blobs):
-        """Spans of one bucket: pieces of it are sorted alone and merged."""
-        runs = [unpack_runs(h.as_py(), b.as_py()) for h, b in zip(blobs["head"], blobs["body"])]
-        docs, starts, counts = [np.concatenate([r[i] for r in runs]) for i in range(3)]
-        data = b"".join(r[3] for r in runs) + bytes(16)
-        del runs
-        sizes = counts + length - 1
-        begins = np.cumsum(sizes) - sizes
-        first = np.cumsum(counts) - counts
-        window = np.arange(int(counts.sum())) + np.repeat(begins - first, counts)
-        owner = np.repeat(docs, counts)
-        # windows whose 64-bit hash no other document has can't be repeated
-        words = words_at(data)
-        mixed = np.zeros(len(window), np.uint64)
-        for k in _offsets(length):
-            mixed = (mixed ^ words[window + k]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(31)
-        maybe = repeated(mixed, owner)
-        del mixed, words
-        late = np.zeros(len(window), bool)
-        if maybe.any():
-            run_of = np.repeat(np.arange(len(counts)), counts)
-            a, c = runs_of_windows(maybe, run_of)
-            piece = np.cumsum(c + length - 1) // piece_bytes
-            cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-            tables, parts = [], []
-            for x, y in zip(cuts, [*cuts[1:], len(a)]):
-                parts.append((a[x:y], c[x:y]))
-                _, keys, least = earlier(data, window[a[x:y]], c[x:y], owner[a[x:y]], length)
-                tables.append((keys, least))
-            while len(tables) > 1:
-                tables = [merge(*tables[i : i + 2]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
-            keys, least = tables[0]
-            big = words_at(data, ">")
-            for s, c in parts:
-                at = np.arange(int(c.sum())) + np.repeat(s - (np.cumsum(c) - c), c)
-                own = np.stack([big[window[at] + k] for k in _offsets(length)], axis=1)
-                late[at] = least[search(keys, own)] < owner[at]
-            s, c = runs_of_windows(late, run_of)
-            offset = np.arange(len(window)) - np.repeat(first, counts)
-            return pa.Table.from_arrays(_spans(owner[s], starts[run_of[s]] + offset[s], c), schema=_SPANS)
-        return _SPANS.empty_table()
+def _ids(values):
+    return [_LAST if d is None else d for d in values]
 
-    return across
 
+def _anchor_rows(length, bits):
+    """Per shard and leading bits: the next 40 bits of its different anchors."""
 
-def _remove(length):
-    def remove(batches):
-        expand = zstandard.ZstdDecompressor()
+    def rows(batches):
         for batch in batches:
-            rows = []
-            for doc_id, body, spans in zip(batch["doc_id"], batch["body"], batch["spans"]):
-                data = expand.decompress(body.as_py())
-                kept, end, removed, n = [], 0, 0, 0
-                reach = -1
-                for s in sorted((x["start"], x["count"]) for x in spans.as_py() or ()):
-                    a, b = s[0], s[0] + s[1] + length - 1
-                    if a > reach:
-                        n += 1
-                        kept.append(data[end:a])
-                        start = a
-                    else:
-                        start = reach
-                    removed += max(0, b - start)
-                    end = reach = max(reach, b)
-                kept.append(data[end:])
-                out = b"".join(kept)
-                rows.append((doc_id.as_py(), len(data), removed, n, hashlib.sha256(out).hexdigest(), out))
-            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+            for row in batch.to_pylist():
+                own = Shard(_ids(row["ids"]), row["sizes"], row["body"], length).anchors
+                part = (own >> np.uint64(64 - bits)).astype(np.int64)
+                rest = ((own << np.uint64(bits)) >> np.uint64(24)).astype(np.int64)
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+                blobs = [packed([rest[a:b]]) for a, b in zip(cuts, [*cuts[1:], len(part)])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[cuts] if blobs else [], pa.int32()), pa.array([row["shard"]] * len(blobs), pa.string()), pa.array(blobs, pa.binary())],
+                    ["part", "shard", "anchors"],
+                )
 
-    return remove
+    return rows
 
 
-def _squeezed(batches):
-    squeeze = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        body = [squeeze.compress((t.as_py() or "").encode()) for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(body, pa.binary())], ["doc_id", "body"])
+def _shared_anchors(table):
+    """Per shard, a bit for each of its anchors: another shard has it too."""
+    lists = [unpacked(x.as_py())[0] for x in table["anchors"]]
+    values = np.concatenate(lists)
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    shared = np.empty(len(values), bool)
+    shared[order] = np.r_[False, same] | np.r_[same, False]
+    ends = np.cumsum([len(x) for x in lists])
+    bits = [np.packbits(shared[e - len(x) : e]).tobytes() for x, e in zip(lists, ends)]
+    return pa.Table.from_arrays([table["shard"], table["part"], pa.array(bits, pa.binary())], ["shard", "part", "shared"])
 
 
-def repeated_spans(docs, length=50, shard_bytes=12 << 20, bucket_bytes=12 << 20):
-    """(doc_id, start, count): windows of ``length`` bytes, as runs by first byte,
-    that a document with a smaller id holds too.
+_RUNS = "bucket int, shard string, head binary, body binary"
 
-    A shard is the texts that a task reads, ``shard_bytes`` at a time; its suffix
-    array finds what repeats within it, and only windows without an earlier
-    document there go on, so a passage of a third of all documents leaves each
-    shard once. They go by the hash of their anchor to buckets; in each the
-    shards' windows are sorted in pieces and merged by binary search. The number
-    of buckets grows with the bytes of the texts.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(total * 3.7 // bucket_bytes))
-    found = texts.mapInArrow(_shards(length, buckets, shard_bytes), _BLOBS)
-    found = written(found, "windows")
-    across = (
-        found.where("bucket is not null")
-        .select("bucket", "head", "body")
-        .groupBy("bucket")
-        .applyInArrow(_across(length), "doc_id long, start long, count long")
-    )
-    return found.where("bucket is null").select("doc_id", "start", "count").unionAll(across)
+
+def _window_rows(length, bits, buckets):
+    """Per shard: the spans found within it, and blobs of the windows that neither
+    repeat an earlier document of the shard nor have an anchor of their own."""
+
+    def rows(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(_ids(row["ids"]), row["sizes"], row["body"], length)
+                if not len(shard.first):
+                    continue
+                part = (shard.anchors >> np.uint64(64 - bits)).astype(np.int64)
+                shared = np.zeros(len(part), bool)
+                for x in row["found"] or ():
+                    a, b = np.searchsorted(part, [x["part"], x["part"] + 1])
+                    shared[a:b] = np.unpackbits(np.frombuffer(x["shared"], np.uint8))[: b - a].astype(bool)
+                held, first, count, of = [], shard.first, shard.count, shard.doc_of
+                late = np.zeros(len(shard.hashes), bool)
+                some = repeated(shard.hashes[first], shard.ids[of[first]])
+                if some.any():
+                    a, c = first[some], count[some]
+                    late[spread(a, c)] = late_windows(shard.data, a, c, shard.ids[of[a]], length)
+                    a, c = runs_of_windows(late, of)
+                    held.append((row["shard"], packed([of[a], a - shard.begins[of[a]], c]), None, len(late) % buckets))
+                go = shared[np.searchsorted(shard.anchors, shard.hashes[first])]
+                wanted = np.zeros(len(late), bool)
+                wanted[spread(first[go], count[go])] = True
+                wanted &= ~late
+                first, count = window_runs(shard.hashes, wanted, of)
+                bucket = (shard.hashes[first] % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                first, count, bucket = first[order], count[order], bucket[order]
+                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
+                squeeze = zstandard.ZstdCompressor(level=3)
+                for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+                    s, c = first[a:b], count[a:b]
+                    text, _ = gathered(shard.data, s, c + length - 1)
+                    head = packed([shard.ids[of[s]], of[s], s - shard.begins[of[s]], c])
+                    held.append((row["shard"], head, squeeze.compress(text[:-16]), int(bucket[a])))
+                kinds = ((3, pa.int32()), (0, pa.string()), (1, pa.binary()), (2, pa.binary()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in held], t) for i, t in kinds], ["bucket", "shard", "head", "body"]
+                )
+
+    return rows
+
+
+_SPANS = "shard string, doc long, start long, count long"
+
+
+def _spans(shards, docs, starts, counts):
+    numbers = [pa.array(x, pa.int64()) for x in (docs, starts, counts)]
+    return pa.Table.from_arrays([pa.array(shards, pa.string()), *numbers], ["shard", "doc", "start", "count"])
+
+
+def _across(length):
+    """Spans of one bucket."""
+
+    def across(blobs):
+        out, runs, names, bodies = [], [], [], []
+        expand = zstandard.ZstdDecompressor()
+        for shard, head, body in zip(blobs["shard"], blobs["head"], blobs["body"]):
+            columns = unpacked(head.as_py())
+            if body.as_py() is None:
+                out.append(_spans([shard.as_py()] * columns.shape[1], *columns))
+            else:
+                runs.append(columns)
+                names += [shard.as_py()] * columns.shape[1]
+                bodies.append(expand.decompress(body.as_py()))
+        if runs:
+            ids, docs, starts, counts = np.concatenate(runs, axis=1)
+            sizes = counts + length - 1
+            begins = np.cumsum(sizes) - sizes
+            data = b"".join(bodies) + bytes(16)
+            at, run = spread(begins, counts), np.repeat(np.arange(len(counts)), counts)
+            late = late_windows(data, begins, counts, ids, length)
+            s, c = runs_of_windows(late, run)
+            first = starts[run[s]] + at[s] - begins[run[s]]
+            out.append(_spans([names[i] for i in run[s]], docs[run[s]], first, c))
+        return pa.concat_tables(out)
+
+    return across
 
 
-def remove_repeats(docs, length=50, with_kept=False):
+def _remove(length):
+    def remove(batches):
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = zstandard.ZstdDecompressor().decompress(row["body"])
+                spans = {}
+                for blob in row["spans"] or ():
+                    for doc, start, count in zip(blob["doc"], blob["start"], blob["count"]):
+                        spans.setdefault(doc, []).append((start, start + count + length - 1))
+                rows, begin = [], 0
+                for i, (doc_id, size) in enumerate(zip(row["ids"], row["sizes"])):
+                    text = data[begin : begin + size]
+                    begin += size
+                    kept, end, removed, n = [], 0, 0, 0
+                    for a, b in sorted(spans.get(i, ())):
+                        if a > end or not n:
+                            kept.append(text[end:a])
+                            n, removed, end = n + 1, removed + b - a, b
+                        elif b > end:
+                            removed, end = removed + b - end, b
+                    kept.append(text[end:])
+                    out = b"".join(kept)
+                    rows.append((doc_id, size, removed, n, hashlib.sha256(out).hexdigest(), out))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+    return remove
+
+
+def remove_repeats(docs, length=50, with_kept=False, shard_bytes=5 << 19, bucket_bytes=4 << 20):
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     Each byte of a text that lies in a string of ``length`` bytes that a document
     with a smaller id holds too is removed; the texts are judged as given.
     ``with_kept`` adds the bytes that stay.
 
+    Texts are written as shards of ``shard_bytes``. Shards first tell which of
+    their anchors (a hash that equal windows share) other shards have. A shard's
+    suffix array then finds what repeats within it, and only windows without an
+    earlier document there, and with a shared anchor, go on to the bucket of their
+    anchor: a passage of a third of all documents leaves each shard once. In a
+    bucket the windows are sorted in pieces and merged by binary search. Shards
+    and buckets are of bounded size and their number grows with the texts.
+
     A null text is empty; texts shorter than ``length`` lose nothing. Rows that
-    share an id are one document: they lose nothing to one another, and what
-    repeats at a place of one is looked up by id, so ids should be unique; a null
-    id counts as later than all others. An empty table gives an empty result;
-    other columns are ignored.
+    share an id are one document and lose nothing to one another; a null id counts
+    as later than all others. An empty table gives an empty result; other columns
+    are ignored.
     """
-    spans = repeated_spans(docs, length)
-    spans = written(spans, "spans").groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    spark = docs.sparkSession
+    ship(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bodies = texts.mapInArrow(_squeezed, "doc_id long, body binary")
-    key = F.coalesce(F.col("doc_id"), F.lit(int(_LAST)))
-    joined = bodies.withColumn("_key", key).join(
-        spans.withColumnRenamed("doc_id", "_key"), "_key", "left"
-    ).select("doc_id", "body", "spans")
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = joined.mapInArrow(_remove(length), kinds + ", kept binary")
+    shards = written(texts.mapInArrow(_shards(shard_bytes), _TEXTS), "shards")
+    total = shards.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = max(3, (total // (16 << 20)).bit_length())
+    buckets = max(8, int(total // bucket_bytes))
+    found = (
+        shards.mapInArrow(_anchor_rows(length, bits), "part int, shard string, anchors binary")
+        .groupBy("part")
+        .applyInArrow(_shared_anchors, "shard string, part int, shared binary")
+        .groupBy("shard")
+        .agg(F.collect_list(F.struct("part", "shared")).alias("found"))
+    )
+    spans = (
+        shards.join(found, "shard", "left")
+        .mapInArrow(_window_rows(length, bits, buckets), _RUNS)
+        .groupBy("bucket")
+        .applyInArrow(_across(length), _SPANS)
+        .groupBy("shard")
+        .agg(F.collect_list(F.struct("doc", "start", "count")).alias("spans"))
+    )
+    columns = [F.transform("spans", lambda x: x[n]).alias(n) for n in ("doc", "start", "count")]
+    gathered_spans = spans.select("shard", F.array(F.struct(*columns)).alias("spans"))
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    out = shards.join(gathered_spans, "shard", "left").mapInArrow(_remove(length), kinds)
     return out if with_kept else out.drop("kept")
