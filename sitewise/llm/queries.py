@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm import checks
 from sitewise.llm.common import table
+from sitewise.llm.minhash_forest import jaccard_join
 from sitewise.llm.packing import pack_documents
 from sitewise.llm.pii import find_pii
 from sitewise.llm.quality_rules import quality_rules
@@ -66,6 +67,11 @@ def op5_quality_rules(spark, folder):
     )
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, folder):
+    return jaccard_join(table(spark, folder, "documents"))
+
+
 @query("op8_pii")
 def op8_pii(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
