@@ -84,3 +84,24 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
        CASE WHEN page_id <> holder THEN holder END AS refers_to
 FROM b
 """
+
+# Every window of an item's length around a shared shingle, compared exactly.
+DECONTAMINATION = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws FROM benchmark),
+dp AS (SELECT doc_id, len(ws) - 4 AS n, ws, unnest(range(0, greatest(len(ws) - 4, 0))) AS p FROM dw),
+ip AS (SELECT item_id, len(ws) - 4 AS n, ws, unnest(range(0, greatest(len(ws) - 4, 0))) AS p FROM iw),
+dg AS (SELECT doc_id, n, p, list_slice(ws, p + 1, p + 5) AS g FROM dp),
+ig AS (SELECT item_id, n, list_slice(ws, p + 1, p + 5) AS g, count(*) AS c FROM ip GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, dg.n AS dn, ig.n AS m, dg.p FROM dg JOIN ig USING (g)),
+st AS (SELECT DISTINCT doc_id, item_id, m, greatest(dn - m, 0) AS last,
+         unnest(range(least(greatest(p - m + 1, 0), greatest(dn - m, 0)), least(p, greatest(dn - m, 0)) + 1)) AS s FROM hits),
+wg AS (SELECT st.doc_id, st.item_id, st.m, st.s, dg.g, count(*) AS c FROM st JOIN dg
+       ON dg.doc_id = st.doc_id AND dg.p >= st.s AND dg.p < st.s + st.m GROUP BY ALL),
+ov AS (SELECT wg.doc_id, wg.item_id, wg.m, wg.s, sum(wg.c) AS size, sum(least(wg.c, coalesce(ig.c, 0))) AS both_
+       FROM wg LEFT JOIN ig ON ig.item_id = wg.item_id AND ig.g = wg.g GROUP BY ALL),
+j AS (SELECT doc_id, item_id, s, both_::DOUBLE / (size + m - both_)::DOUBLE AS similarity FROM ov)
+SELECT doc_id, item_id, max(similarity) AS similarity,
+       (-arg_max(-s, (similarity, -s)))::BIGINT AS start_word
+FROM j WHERE similarity >= 0.8 GROUP BY ALL
+"""

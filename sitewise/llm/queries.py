@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm import checks
 from sitewise.llm.common import table
+from sitewise.llm.decontamination import find_leaks
 from sitewise.llm.minhash_forest import jaccard_join
 from sitewise.llm.packing import pack_documents
 from sitewise.llm.pii import find_pii
@@ -67,6 +68,11 @@ def op5_quality_rules(spark, folder):
     )
 
 
+@query("op6_decontamination", checks.DECONTAMINATION)
+def op6_decontamination(spark, folder):
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, folder):
     return jaccard_join(table(spark, folder, "documents"))
