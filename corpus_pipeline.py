@@ -1,3 +1,68 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of ``documents``.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from sitewise.llm.common import table, written
+from sitewise.llm.decontamination import find_leaks
+from sitewise.llm.minhash_forest import jaccard_join
+from sitewise.llm.packing import pack_documents
+from sitewise.llm.pii import find_pii
+from sitewise.llm.toxicity import score_toxicity, train
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the compression distance doesn't call toxic."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """The document with the smallest id of each class of near copies, once; rows
+    without id stay."""
+    first = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark, docs, sf_dir):
+    """Documents that hold no passage of the benchmark."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def clean_pii(spark, docs, sf_dir):
+    """Every document, with personal data and what discloses it replaced."""
+    found = find_pii(docs)
+    clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return found.select(*[clean.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("pii", clean_pii),
+    ("packing", pack),
+]
+
+#: Compression, MinHash and tokenizers aren't SQL; tests hold the stages against
+#: brute force.
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """All stages over ``documents``, each written and read back for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
