@@ -1,6 +1,7 @@
 """Packing: documents into token sequences, best-fit decreasing."""
 
 import re
+import struct
 import zlib
 
 import pyarrow as pa
@@ -8,9 +9,8 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.common import ship, written
 
-_SPLIT = re.compile(r"[ \n\t\r]+")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 500_000
 _ENCODERS = {}
 
 
@@ -19,7 +19,7 @@ class WordEncoder:
 
     For tokenizers that drop white space and lower their input: no token spans a
     space, so a text is the sequence of its space-free chunks and a chunk seen
-    before needs no second encoding. The cache is emptied when it is full. Plain
+    before needs no second encoding. The caches are emptied when they are full. Plain
     Latin words go to the model directly; every other chunk to the whole tokenizer.
     """
 
@@ -31,28 +31,40 @@ class WordEncoder:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = iter(range(256, 512))
         self.letters = {b: chr(b if b in kept else next(shown)) for b in range(256)}
-        self.cache = {}
+        self.cache, self.words = _Chunks(self.chunk), {}
 
     def chunk(self, text):
         plain = _PLAIN.fullmatch(text)
         if plain is None:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            word = plain[1].lower().encode().decode("latin1").translate(self.letters)
-            ids = [x.id for x in self.model.tokenize(word)]
-            if plain[2]:
-                ids += self.tokenizer.encode(plain[2], add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        word = plain[1].lower()
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word.encode().decode("latin1").translate(self.letters)
+            ids = self.words[word] = self.packed([x.id for x in self.model.tokenize(shown)])
+        return ids + self.cache[plain[2]] if plain[2] else ids
+
+    @staticmethod
+    def packed(ids):
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text):
-        cache, out = self.cache, []
-        chunks = _SPLIT.split(text)
-        for chunk in {*chunks}.difference(cache):
-            cache[chunk] = self.chunk(chunk)
-        out = b"".join(map(cache.__getitem__, chunks))
-        if len(cache) > _CACHED_WORDS:
-            cache.clear()
-        return out
+        for held in (self.cache, self.words):
+            if len(held) > _CACHED_WORDS:
+                held.clear()
+        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join(map(self.cache.__getitem__, chunks))
+
+
+class _Chunks(dict):
+    """Ids of the chunks seen; a new one is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, chunk):
+        ids = self[chunk] = self.encode(chunk)
+        return ids
 
 
 def encoder(path):
