@@ -119,7 +119,7 @@ def _context_rows(width):
     return rows
 
 
-def revealing_terms(docs, width=5, least_contexts=3, disclosure=0.8, broadcast_rows=100_000):
+def revealing_terms(docs, width=5, least_contexts=3, disclosure=0.8):
     """(entity, term, disclosure) of the terms that give a protected entity away.
 
     Co-occurrence is counted over the whole corpus in the ``width`` words on
@@ -127,29 +127,34 @@ def revealing_terms(docs, width=5, least_contexts=3, disclosure=0.8, broadcast_r
     add nothing. PMI(term; entity) over the information content of the entity is
     the share of it that the term discloses, 1 where it never stands elsewhere. A
     pair needs ``least_contexts`` contexts. How often a term is used at all counts
-    the texts that hold it, for the paired terms alone. Everything is aggregated on
-    the map side first; the paired terms are broadcast only up to
-    ``broadcast_rows``, beyond which all words are counted and joined.
+    the texts that hold it, or its contexts if they are more. Contexts and words are counted on the map side first,
+    so a hot entity or a frequent word costs one row per task.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
     rows = texts.mapInArrow(_context_rows(width), "entity long, term string, context long")
     # a hot entity's contexts are spread before they are counted
     counted = rows.distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
-    counted = written(counted.where(F.col("n") >= least_contexts), "disclosure")
-    pairs = counted.where("term <> ''")
+    counted = written(counted, "contexts")
+    n_texts = F.lit(float(max(1, docs.count())))
     entities = counted.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    terms = written(pairs.select("term").distinct(), "terms")
+    beside = counted.groupBy("term").agg(F.sum("n").alias("n_beside"))
+    # a term stands in the texts at least as often as beside entities: where that
+    # alone makes it too frequent to disclose, it needn't be counted
+    most = F.col("n") * F.pow(n_texts / F.col("n_entity"), F.lit(1.0 - disclosure)) + 1e-6
+    pairs = counted.where((F.col("term") != "") & (F.col("n") >= least_contexts)).join(entities, "entity")
+    pairs = written(pairs.join(beside, "term").where(F.col("n_beside") <= most), "pairs")
     words = texts.select(
         F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS))).alias("word")
-    ).select(F.regexp_replace("word", r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "").alias("term"))
-    if terms.count() <= broadcast_rows:
-        used = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        used = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
-    n_texts = F.lit(float(max(1, docs.count())))
-    both = pairs.join(entities, "entity").join(used, "term")
-    # a term may stand in several contexts of one text
-    n_term = F.greatest("n_term", "n")
+    ).groupBy("word").agg(F.count("*").alias("n"))
+    bare = F.regexp_replace("word", r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "")
+    used = (
+        words.select(bare.alias("term"), "n")
+        .join(pairs.select("term").distinct(), "term")
+        .groupBy("term")
+        .agg(F.sum("n").alias("n_term"))
+    )
+    both = pairs.join(used, "term")
+    n_term = F.greatest("n_term", "n_beside")
     pmi = F.log(F.col("n") * n_texts / (n_term * F.col("n_entity")))
     content = -F.log(F.least(F.col("n_entity") / n_texts, F.lit(0.999)))
     share = F.least(pmi / content, F.lit(1.0))
