@@ -62,7 +62,10 @@ def near_blocks(fingerprint):
 
 def _flipped(fingerprint, i, masks):
     own = _block(fingerprint, i)
-    return F.array(*[F.struct(F.lit(i).alias("block"), own.bitwiseXOR(F.lit(m)).alias("value")) for m in masks])
+    return F.transform(
+        F.array(*[F.lit(m) for m in masks]),
+        lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("value")),
+    )
 
 
 def weighted_overlap(a, b):

@@ -2,6 +2,8 @@
 
 import random
 import re
+import sys
+from functools import lru_cache
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -133,8 +135,10 @@ def fit_dictionaries(toxic_words, ordinary_words, size=64 << 10, extra=3 << 10,
     draw = random.Random(seed)
     group = lambda words: [b"".join(words[i : i + 12]) for i in range(0, len(words), 12)]
     bare = lambda data: data[: 1 - len(_ANCHOR)]
-    halves = [[window(w) for words in toxic_words[h::2] for w in words] for h in (0, 1)]
-    ordinary = [bare(window(w)) for words in ordinary_words for w in words]
+    made, cut = lru_cache(None)(window), lru_cache(None)(lambda w: bare(window(w)))
+    halves = [[made(w) for words in toxic_words[h::2] for w in words] for h in (0, 1)]
+    ordinary = [cut(w) for words in ordinary_words for w in words]
+    del made, cut
     for words in (*halves, ordinary):
         draw.shuffle(words)
     base = _trained(group(ordinary[: len(ordinary) * 3 // 4]), size, 64)
@@ -175,10 +179,8 @@ def _sampled_words(most):
             words = []
             for text in batch["text"]:
                 own = sorted({*_WORD.findall(text.as_py() or "")})
-                words.append(own[:: -(-len(own) // most)] if own else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch["_toxic"], batch["_fold"], pa.array(words, pa.list_(pa.string()))], ["toxic", "fold", "words"]
-            )
+                words.append(" ".join(own[:: -(-len(own) // most)] if own else []))
+            yield pa.RecordBatch.from_arrays([batch["_toxic"], pa.array(words, pa.string())], ["toxic", "words"])
 
     return sample
 
@@ -230,11 +232,12 @@ def train(docs, labels, held_out=2, folds=4, most_toxic=1500, most_ordinary=3000
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
     rows = (
         texts.where("_fold = 0").dropDuplicates(["doc_id"])
-        .mapInArrow(_sampled_words(most_words), "toxic int, fold int, words array<string>")
+        .mapInArrow(_sampled_words(most_words), "toxic int, words string")
         .collect()
     )
-    rows.sort(key=lambda r: (r.toxic, r.words))
-    lists = [[r.words for r in rows if r.toxic == t and r.words] for t in (1, 0)]
+    rows = sorted((r.toxic, r.words) for r in rows if r.words)
+    # a word that many texts hold is kept once
+    lists = [[[*map(sys.intern, words.split(" "))] for toxic, words in rows if toxic == t] for t in (1, 0)]
     model = fit_dictionaries(*lists)
     model.weights = fit_weights(model, *lists)
     judged = texts.where("_fold = 1").mapInArrow(
