@@ -72,17 +72,14 @@ def social_links(col):
     found = []
     for platform in SOCIAL_PLATFORMS:
         pattern = rf"(?iu)(?:https?://)?(?:www\.)?{platform}\.com/{tail}"
-        found.append(
-            F.transform(
-                _find_all(col, pattern),
-                lambda url, name=platform: F.struct(
-                    F.lit(name).alias("platform"), url.alias("url")
-                ),
-            )
-        )
+        found.append(F.transform(_find_all(col, pattern), _named(platform)))
     return F.concat(*found)
 
 
+def _named(platform):
+    return lambda url: F.struct(F.lit(platform).alias("platform"), url.alias("url"))
+
+
 def key_sections(col, limit=10):
     """First header texts of level one to three."""
     headers = _find_all(col, rf"(?md)^#{{1,3}}[{SPACE}]+(.+)$", 1)

@@ -151,9 +151,12 @@ def rate_window(
     window = (
         Window.partitionBy("client", "chunk").orderBy("_at").rangeBetween(-frame, 0)
     )
+    # of calls at the same instant only those with a smaller id came before
+    instant = Window.partitionBy("client", "chunk", "_at")
+    later = F.count("*").over(instant) - F.row_number().over(instant.orderBy("event_id"))
     wait = F.lit(float(frame_seconds)) - (at - F.col("_oldest")) / 1000000.0
     return (
-        spread.withColumn("in_window", F.count("*").over(window) - 1)
+        spread.withColumn("in_window", F.count("*").over(window) - 1 - later)
         .withColumn("_oldest", F.min("_at").over(window))
         .where("own")
         .withColumn("at_limit", F.col("in_window") >= limit)

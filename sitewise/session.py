@@ -1,7 +1,5 @@
 """Session helpers: a local session for tests, and the shared work folder."""
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -20,17 +18,12 @@ def local_session(cores="8", app="sitewise"):
     )
 
 
-def shared_dir(spark):
+def shared_dir(spark, folder=None):
     """Folder for stream checkpoints and written intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without
-    the setting gets a fresh temporary folder.
+    ``folder`` where given, else what the session names in ``spark.checkpoint.dir``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    fresh = tempfile.mkdtemp(prefix="sitewise-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    return fresh
+    named = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("name a folder that all executors reach, or set spark.checkpoint.dir")
+    return named

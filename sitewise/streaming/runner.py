@@ -5,9 +5,9 @@ import uuid
 from sitewise.session import shared_dir
 
 
-def work_paths(spark, name):
+def work_paths(spark, name, folder=None):
     """(output, checkpoint) folders for one run, under the shared folder."""
-    root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark, folder).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{root}/out", f"{root}/checkpoint"
 
 
