@@ -61,14 +61,12 @@ def validated(leads):
 def accepted(leads, now):
     """Accepted leads as event data: id, time, canonical URLs, message, sources.
 
-    ``request_id`` is kept when the input has one (persist ids at intake: they
-    must not change when a task is run again), else a hash of the lead.
+    ``request_id`` is given at intake: it must not change when a task is run
+    again, and two leads of one person stay two requests.
     """
+    if "request_id" not in leads.columns:
+        raise ValueError("leads need a request_id; give one at intake")
     good = validated(leads).where(F.size("errors") == 0).drop("errors")
-    if "request_id" not in good.columns:
-        fields = ["first_name", "last_name", "company_website", "linkedin"]
-        text = F.concat_ws("\u0001", *[F.coalesce(c, F.lit("")) for c in fields])
-        good = good.withColumn("request_id", F.sha2(text, 256))
     site, profile = F.col("company_website"), F.col("linkedin")
     return (
         good.withColumn("timestamp", iso_utc(now))

@@ -1,7 +1,11 @@
 """Session helpers: a local session for tests, and the shared work folder."""
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_LOCAL_FOLDERS = {}
+
 
 def local_session(cores="8", app="sitewise"):
     """Session for tests and the local bench. Clusters bring their own."""
@@ -22,8 +26,14 @@ def shared_dir(spark, folder=None):
     """Folder for stream checkpoints and written intermediate tables.
 
     ``folder`` where given, else what the session names in ``spark.checkpoint.dir``.
+    Only a local session without either, as in tests, gets a folder of its own.
     """
     named = folder or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("name a folder that all executors reach, or set spark.checkpoint.dir")
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="sitewise-")
+    return _LOCAL_FOLDERS[app]

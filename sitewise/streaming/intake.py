@@ -2,19 +2,56 @@
 
 from pyspark.sql import functions as F
 
-from sitewise.operators.leads import accepted, authentic_events
+from sitewise.functions.events import is_authentic
+from sitewise.operators.leads import accepted, validated
 from sitewise.sources.leads import decode_envelopes
 
+LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
+
+
+def sorted_events(events, key):
+    """Signed event payloads with ``refused``: why one is no lead, null for leads.
+
+    events: payload (text or binary), signature. The reasons are 'signature',
+    'payload' (no JSON object), 'event' (a foreign name), 'id' (an event without
+    one, nor its lead) and 'lead: ' with the faults of its fields. Works on streams and tables,
+    and drops nothing: write the refused rows to a table of their own.
+    """
+    body = F.col("payload").cast("binary")
+    known = events.withColumn("_signed", is_authentic(body, F.col("signature"), key))
+    decoded = decode_envelopes(known)
+    event = F.col("event")
+    lead = decoded.select(
+        *decoded.columns,
+        F.coalesce(F.nullif(event["data"]["request_id"], F.lit("")), event["id"]).alias("request_id"),
+        *[event["data"][c].alias(c) for c in LEAD_FIELDS],
+    )
+    return (
+        validated(lead)
+        .withColumn(
+            "refused",
+            F.when(~F.col("_signed"), "signature")
+            .when(F.col("verdict") == "rejected", "payload")
+            .when(F.col("verdict") == "acknowledge", "event")
+            .when(F.coalesce("request_id", F.lit("")) == "", "id")
+            .when(F.size("errors") > 0, F.concat(F.lit("lead: "), F.array_join("errors", ", "))),
+        )
+        .drop("_signed", "event", "verdict", "errors")
+    )
+
 
 def intake(events, key, now):
-    """Signed event payloads -> accepted leads. Works on streams and tables.
+    """The leads among signed events as event data; without its own id a lead has the event's.
 
-    events: payload (text or binary), signature. Unauthentic, broken and foreign
-    events and invalid leads do not pass.
+    What doesn't pass is in ``refused_events``.
     """
-    decoded = decode_envelopes(authentic_events(events, key)).where("verdict = 'process'")
-    leads = decoded.select(F.col("event.id").alias("event_id"), "event.data.*")
-    return accepted(leads.drop("timestamp"), now)
+    good = sorted_events(events, key).where("refused is null")
+    return accepted(good.select("request_id", *LEAD_FIELDS), now)
+
+
+def refused_events(events, key):
+    """(payload, signature, refused): every event that gives no lead, with its reason."""
+    return sorted_events(events, key).where("refused is not null").select("payload", "signature", "refused")
 
 
 def write_report_stream(leads, build, path, checkpoint):
