@@ -157,14 +157,35 @@ def iso_utc(ts):
     )
 
 
+def rounded(value, digits):
+    """A double of at least zero, to one or two decimals, by its exact binary value.
+
+    ``bround`` looks at the shortest decimal text, where 298.165 is a tie; the double
+    lies above it. The fraction is taken as a whole number of 2^-56 (2^-60 below 1/16),
+    which loses no bit, and ties go to the even digit.
+    """
+    power = 10**digits
+    whole = F.floor(value)
+
+    def steps(bits):
+        scaled = ((value - whole) * float(2**bits)).cast("long") * power
+        down = F.shiftright(scaled, bits)
+        rest, half = scaled.bitwiseAND(F.lit(2**bits - 1)), F.lit(2 ** (bits - 1))
+        up = (rest > half) | ((rest == half) & (down % 2 == 1))
+        return down + up.cast("long")
+
+    fraction = F.when(value < 0.0625, steps(60)).otherwise(steps(56))
+    return (whole * power + fraction) / float(power)
+
+
 def seconds_of(duration_ms):
     """Milliseconds as seconds with two decimals; zero has no seconds value."""
-    return F.when(duration_ms != 0, F.bround(duration_ms / 1000.0, 2))
+    return F.when(duration_ms != 0, rounded(duration_ms / 1000.0, 2))
 
 
 def percent(part, whole):
     """Share in percent with one decimal, 0.0 for an empty whole."""
-    return F.when(whole > 0, F.bround(part / whole * 100, 1)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(part / whole * 100, 1)).otherwise(F.lit(0.0))
 
 
 def report_name(request_id, first_name, last_name, now, include_name=True):

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitewise import dims
-from sitewise.functions.events import is_retryable, percent
+from sitewise.functions.events import is_retryable, percent, rounded
 
 
 def step_stats(log):
@@ -31,7 +31,7 @@ def step_stats(log):
             success.alias("_success"),
         )
         .withColumn(
-            "total_duration_seconds", F.bround(F.col("total_duration_ms") / 1000.0, 2)
+            "total_duration_seconds", rounded(F.col("total_duration_ms") / 1000.0, 2)
         )
         .withColumn("success_rate", percent(F.col("_success"), F.col("total_steps")))
         .drop("_success")

@@ -276,10 +276,17 @@ def truncate(expr, limit, suffix="..."):
     )
 
 
+def rounded(expr, digits):
+    """To ``digits`` decimals by the exact value of the double, in 128-bit integers."""
+    power, one = 10**digits, f"{2**60}::HUGEINT"
+    part = f"(((({expr}) - floor({expr})) * pow(2, 60))::HUGEINT * {power})"
+    up = f"({part} % {one} > {one} // 2 OR ({part} % {one} = {one} // 2 AND ({part} // {one}) % 2 = 1))"
+    return f"((floor({expr})::HUGEINT * {power} + {part} // {one} + {up}::INT)::DOUBLE / {power})"
+
+
 def percent(part, whole):
-    return (
-        f"CASE WHEN {whole} > 0 THEN round_even({part} / {whole} * 100, 1) ELSE 0.0 END"
-    )
+    share = rounded(f"{part}::DOUBLE / {whole}::DOUBLE * 100", 1)
+    return f"CASE WHEN {whole} > 0 THEN {share} ELSE 0.0 END"
 
 
 CATALOG = (

@@ -274,7 +274,7 @@ h AS (SELECT request_id, string_agg(status || '=' || n, ',' ORDER BY status) AS
 t AS (SELECT request_id, sum(ms)::BIGINT AS total_duration_ms, count(*) AS total_steps, sum(calls)::BIGINT AS total_api_calls,
   count(*) FILTER (status = 'success') AS good FROM l GROUP BY 1)
 SELECT request_id, total_duration_ms, total_steps, status_counts, total_api_calls,
-  round_even(total_duration_ms / 1000.0, 2)::DOUBLE AS total_duration_seconds, {S.percent('good', 'total_steps')} AS success_rate
+  {S.rounded('total_duration_ms::DOUBLE / 1000', 2)} AS total_duration_seconds, {S.percent('good', 'total_steps')} AS success_rate
 FROM t JOIN h USING (request_id)
 """
 

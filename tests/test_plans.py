@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from sitewise.functions.text import social_links
-from sitewise.operators import runs
+from sitewise.functions.events import percent, seconds_of
+from sitewise.operators import leads, runs
 from sitewise.plans import load_all
 from sitewise.plans.registry import CHECKS, QUERIES
 
@@ -49,3 +50,20 @@ def test_social_links_name_their_platform(spark):
     text = "see https://linkedin.com/in/a and www.facebook.com/b"
     links = spark.createDataFrame([(text,)], "t string").select(social_links(F.col("t")).alias("x")).first().x
     assert {(r.platform, r.url) for r in links} == {("linkedin", "https://linkedin.com/in/a"), ("facebook", "www.facebook.com/b")}
+
+
+def test_rounding_follows_the_double(spark):
+    ms = [0, 5, 15, 25, 35, 45, 55, 65, 125, 375, 999, 1005, 1115, 298165, 272225, 123456785, *range(995, 4000, 10)]
+    rows = spark.createDataFrame([(m,) for m in ms], "ms long").select("ms", seconds_of(F.col("ms")).alias("s")).collect()
+    assert [(r.ms, r.s) for r in rows] == [(m, round(m / 1000, 2) if m else None) for m in ms]
+    pairs = [(a, b) for b in (0, 7, 16, 80, 400, 2000) for a in range(0, b + 1, max(1, b // 97))]
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", percent(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in rows] == [round(a / b * 100, 1) if b else 0.0 for a, b in pairs]
+
+
+def test_leads_need_an_id(spark):
+    lead = spark.createDataFrame([("A", "B", "x.com", None)], "first_name string, last_name string, company_website string, linkedin string")
+    with pytest.raises(ValueError):
+        leads.accepted(lead, F.current_timestamp())
+    two = lead.unionAll(lead).withColumn("request_id", F.monotonically_increasing_id().cast("string"))
+    assert leads.accepted(two, F.current_timestamp()).select("request_id").distinct().count() == 2
