@@ -24,9 +24,13 @@ def non_blank(col):
 
 
 def clean_text(col):
-    """Whitespace runs to one space, control characters out, ends stripped."""
-    one_line = F.regexp_replace(col, rf"[{SPACE}]+", " ")
-    return strip(F.regexp_replace(one_line, r"[\x00-\x1f\x{7f}-\x{9f}]", ""))
+    """Whitespace runs to one space, control characters out, ends stripped.
+
+    A lone space is left alone, and after the first step spaces are the only blanks.
+    """
+    other = SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+    one_line = F.regexp_replace(col, rf"[{other}][{SPACE}]*|\x20[{SPACE}]+", " ")
+    return F.trim(F.regexp_replace(one_line, r"[\x00-\x1f\x{7f}-\x{9f}]", ""))
 
 
 def clean_markdown(col):
