@@ -187,6 +187,57 @@ def test_jaccard_join(spark, docs, rows, empty, block):
     assert jaccard_join(empty).count() == 0
 
 
+def _near_copies(n, seed=4):
+    draw = random.Random(seed)
+    base = [f"w{draw.randint(0, 10**9)}" for _ in range(400)]
+    out = []
+    for i in range(n):
+        own = base[:]
+        own[draw.randrange(400)] = f"own{i}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_jaccard_groups_do_not_grow_with_the_component(spark, monkeypatch):
+    from sitewise.llm import minhash_forest
+
+    verify = minhash_forest._verify
+
+    def bounded(threshold):
+        inner = verify(threshold)
+
+        def check(table):
+            assert table.num_rows <= 120, table.num_rows
+            return inner(table)
+
+        return check
+
+    monkeypatch.setattr(minhash_forest, "_verify", bounded)
+    frame = spark.createDataFrame(_near_copies(400), SCHEMA).repartition(3)
+    got = minhash_forest.jaccard_join(frame, block=20, bundle_members=40).collect()
+    assert len(got) == 400 and {(r.class_id, r.n_links) for r in got} == {(0, 399)}
+
+
+def test_shared_passages_do_not_chain_candidates(spark):
+    from sitewise.llm import minhash_forest as forest
+    from sitewise.llm.shingles import connected, shingle_set
+
+    draw = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"t{draw.randint(0, 10**9)}" for _ in range(60)]) for _ in range(150)]
+    texts += [t + " more" for t in texts[:40]]  # pairs far over the threshold, each far from the hub
+    length = forest.prefix_length(0.8, 16, 0.9995)
+    rows = []
+    for i, text in enumerate(texts):
+        keys, signature = forest.prefixes(shingle_set(text), 16, length)
+        rows.append((f"{i:04d}", keys.tolist(), bytearray(signature)))
+    nodes = spark.createDataFrame(rows, "node string, keys array<bigint>, signature binary")
+    for block in (1000, 15):
+        label = {r.node: r.label for r in connected(forest.candidate_links(nodes, 16, length, 0.8, block)).collect()}
+        assert all(label[f"{i:04d}"] == label[f"{150 + i:04d}"] for i in range(40))
+        assert max(collections.Counter(label.values()).values()) < 20
+
+
 def test_suffix_dedup(spark, docs, rows, empty):
     from sitewise.llm.suffix_dedup import remove_repeats
 
