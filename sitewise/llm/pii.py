@@ -2,15 +2,14 @@
 
 import hashlib
 import re
-import uuid
-from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sitewise.llm.common import BLANKS, ship, written
+from sitewise.llm.common import ship, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -85,81 +84,99 @@ def entity_key(kind, value):
     return _hash(f"{kind}:{plain}")
 
 
-def contexts(text, spans, width):
-    """(entity, term, context) for the words around each base span, and one row
-    with an empty term for the entity itself. Spans of personal data are no terms."""
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
-    starts = [w[0] for w in words]
-    covered = {i for _, a, b in spans for i in range(max(0, bisect_right(starts, a) - 1), bisect_right(starts, b - 1))}
-    out = set()
-    for kind, a, b in spans:
-        first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1)
-        near = [*range(max(0, first - width), max(0, first)), *range(last, min(len(words), last + width))]
-        terms = [normal(words[i][2]) for i in near if i not in covered]
-        context, entity = _hash(" ".join(terms)), entity_key(kind, text[a:b])
-        out.add((entity, "", context))
-        out.update((entity, t, context) for t in terms if len(t) > 1)
-    return out
-
-
-def _context_rows(width):
-    def rows(batches):
+_ANY = 0
+
+
+def class_key(kind):
+    """The kind of an entity as a class, protected besides its values."""
+    return _hash(f"class:{kind}")
+
+
+def contexts(text, spans):
+    """(entity, term) for the words of a text that are no personal data and each
+    entity and kind in it, and one pair with an empty term for each of these; ``_ANY``
+    is in every text."""
+    entities = {_ANY, *(class_key(kind) for kind, _, _ in spans)}
+    entities.update(entity_key(kind, text[a:b]) for kind, a, b in spans)
+    base = sorted((a, b) for _, a, b in spans)
+    terms, at, reach = {""}, 0, -1
+    for m in _WORD.finditer(text):
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][1]), at + 1
+        if reach <= m.start():
+            term = normal(m[0])
+            if len(term) > 1:
+                terms.add(term)
+    return {(e, t) for e in entities for t in terms}
+
+
+def _holders(batches):
+    """The texts that hold an entity, and an eighth of the others."""
+    for batch in batches:
+        texts = [t.as_py() or "" for t in batch["text"]]
+        texts = [t for t in texts if _hash(t) % 8 == 0 or base_spans(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], ["mark", "text"])
+
+
+def _context_rows(batches):
+    for batch in batches:
+        found = [pair for t in batch["text"].to_pylist() for pair in contexts(t, base_spans(t))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.string()))], ["entity", "term"])
+
+
+def _words(texts, terms):
+    """(mark, term) of the words of each different text that are among ``terms``;
+    a bitmap rules most others out beforehand."""
+    marks = _marks(terms)
+    bits = 8 * len(marks)
+
+    def marked(word):
+        at = _hash(word) % bits
+        return marks[at >> 3] & (128 >> (at & 7))
+
+    def worded(batches):
         for batch in batches:
-            found = []
+            ids, words = [], []
             for text in batch["text"]:
                 text = text.as_py() or ""
-                spans = base_spans(text)
-                if spans:
-                    found += contexts(text, spans, width)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))],
-                ["entity", "term", "context"],
-            )
+                found = [w for w in {normal(w) for w in set(_WORD.findall(text))} if marked(w)]
+                ids += [_hash(text)] * len(found)
+                words += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["mark", "term"])
 
-    return rows
+    return texts.mapInArrow(worded, "mark long, term string").distinct().join(terms, "term")
 
 
-def revealing_terms(docs, width=5, least_contexts=3, disclosure=0.8):
+def revealing_terms(docs, disclosure=0.8, prior=2.0):
     """(entity, term, disclosure) of the terms that give a protected entity away.
 
-    Co-occurrence is counted over the whole corpus in the ``width`` words on
-    either side of each entity, once per different context, so copies of a text
-    add nothing. PMI(term; entity) over the information content of the entity is
-    the share of it that the term discloses, 1 where it never stands elsewhere. A
-    pair needs ``least_contexts`` contexts. How often a term is used at all counts
-    the texts that hold it, or its contexts if they are more. Contexts and words are counted on the map side first,
-    so a hot entity or a frequent word costs one row per task.
+    An entity is a value (an e-mail address, a number) or the kind of one as a
+    class. Co-occurrence is counted over whole texts, once per different text, so
+    copies add nothing on either side. PMI(term; entity) over the information
+    content of the entity is the share of it that the term discloses, 1 where it
+    never stands elsewhere. The share of the term's texts that hold the entity is
+    smoothed by ``prior`` texts at the entity's own rate: there is no least count
+    per value, but a term seen once tells less than one seen often.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(_context_rows(width), "entity long, term string, context long")
-    # a hot entity's contexts are spread before they are counted
-    counted = rows.distinct().groupBy("entity", "term").agg(F.count("*").alias("n"))
-    counted = written(counted, "contexts")
-    n_texts = F.lit(float(max(1, docs.count())))
+    holders = written(texts.mapInArrow(_holders, "mark long, text string").dropDuplicates(["mark"]), "holders")
+    counted = holders.select("text").mapInArrow(_context_rows, "entity long, term string")
+    counted = written(counted.groupBy("entity", "term").agg(F.count("*").alias("n")), "contexts")
+    n_texts = F.lit(float(max(1, texts.select(F.xxhash64(F.coalesce("text", F.lit("")))).distinct().count())))
     entities = counted.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    beside = counted.groupBy("term").agg(F.sum("n").alias("n_beside"))
-    # a term stands in the texts at least as often as beside entities: where that
-    # alone makes it too frequent to disclose, it needn't be counted
-    most = F.col("n") * F.pow(n_texts / F.col("n_entity"), F.lit(1.0 - disclosure)) + 1e-6
-    pairs = counted.where((F.col("term") != "") & (F.col("n") >= least_contexts)).join(entities, "entity")
-    pairs = written(pairs.join(beside, "term").where(F.col("n_beside") <= most), "pairs")
-    words = texts.select(
-        F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), BLANKS))).alias("word")
-    ).groupBy("word").agg(F.count("*").alias("n"))
-    bare = F.regexp_replace("word", r"^[.,;:!?\"'()\[\]{}]+|[.,;:!?\"'()\[\]{}]+$", "")
-    used = (
-        words.select(bare.alias("term"), "n")
-        .join(pairs.select("term").distinct(), "term")
-        .groupBy("term")
-        .agg(F.sum("n").alias("n_term"))
-    )
+    rate = F.least(F.col("n_entity") / n_texts, F.lit(0.999))
+    held = lambda n_term: (F.col("n") + prior * rate) / (n_term + prior)
+    share = lambda n_term: F.least(F.log(held(n_term) / rate) / -F.log(rate), F.lit(1.0))
+    # a term stands in at least as many texts as were seen here: where these alone are
+    # too many to disclose, it needn't be counted
+    beside = counted.where("term <> ''").groupBy("term").agg(F.max("n").alias("n_beside"))
+    pairs = counted.where((F.col("term") != "") & (F.col("entity") != _ANY)).join(entities, "entity").join(beside, "term")
+    pairs = written(pairs.where(share(F.col("n_beside")) >= disclosure), "pairs")
+    used = _words(texts, written(pairs.select("term").distinct(), "terms")).groupBy("term").agg(F.count("*").alias("n_term"))
     both = pairs.join(used, "term")
-    n_term = F.greatest("n_term", "n_beside")
-    pmi = F.log(F.col("n") * n_texts / (n_term * F.col("n_entity")))
-    content = -F.log(F.least(F.col("n_entity") / n_texts, F.lit(0.999)))
-    share = F.least(pmi / content, F.lit(1.0))
+    n_term = F.col("n_term")
     return written(
-        both.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= disclosure), "revealing"
+        both.select("entity", "term", share(n_term).alias("disclosure")).where(F.col("disclosure") >= disclosure), "revealing"
     )
 
 
@@ -201,7 +218,7 @@ RESULT = StructType(
 )
 
 
-def _apply(names, pairs):
+def _apply(names, terms):
     at = names.index("text")
 
     def apply(batches):
@@ -210,10 +227,7 @@ def _apply(names, pairs):
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                if pairs is None:
-                    revealing = set(batch.column(len(names))[i].as_py() or ())
-                else:
-                    revealing = {t for k, a, b in base for t in pairs.get(entity_key(k, text[a:b]), ())}
+                revealing = set(batch.column(len(names))[i].as_py() or ()) if terms is None else terms
                 spans, clean = sanitise(text, base, revealing)
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
@@ -231,8 +245,8 @@ def find_pii(docs, revealing=None, broadcast_rows=100_000):
     Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text;
     columns of these names are replaced. ``revealing`` is the result of
     ``revealing_terms``, computed from ``docs`` where it is None. A term is a span
-    in the texts that hold its entity. The pairs travel to the tasks only up to
-    ``broadcast_rows`` rows; beyond that they are joined by entity.
+    in every text that holds it, with its entity or without. The terms travel to the
+    tasks only up to ``broadcast_rows`` of them; beyond that they are joined.
 
     Null texts are empty; empty texts have no spans; repeated rows and null ids
     are judged alike; an empty table gives an empty result.
@@ -244,34 +258,43 @@ def find_pii(docs, revealing=None, broadcast_rows=100_000):
         revealing = revealing_terms(docs)
     names = docs.columns
     schema = StructType([*docs.schema.fields, *RESULT.fields])
-    if revealing.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        pairs = {}
-        for row in revealing.select("entity", "term").collect():
-            pairs.setdefault(row.entity, []).append(row.term)
-        return docs.mapInArrow(_apply(names, pairs), schema)
-    return _join_terms(docs, revealing).mapInArrow(_apply(names, None), schema)
+    terms = revealing.select("term").distinct()
+    if terms.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return docs.mapInArrow(_apply(names, {r.term for r in terms.collect()}), schema)
+    return _join_terms(docs, terms).mapInArrow(_apply(names, None), schema)
+
+
+def _marks(terms, bits=1 << 26, chunk=1 << 16):
+    """A bitmap of fixed size that holds the hash of every term."""
+
+    def places(batches):
+        for batch in batches:
+            found = [_hash(t) % bits for t in batch["term"].to_pylist()]
+            columns = [pa.array([p // chunk for p in found], pa.int64()), pa.array([p % chunk for p in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "at"])
+
+    def packed(table):
+        held = np.zeros(chunk, np.uint8)
+        held[table["at"].to_numpy()] = 1
+        return pa.table({"chunk": table["chunk"].slice(0, 1), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
+    out = bytearray(bits // 8)
+    found = terms.mapInArrow(places, "chunk long, at long").distinct().groupBy("chunk").applyInArrow(packed, "chunk long, bits binary")
+    for row in found.toLocalIterator():
+        out[row.chunk * (chunk // 8) : (row.chunk + 1) * (chunk // 8)] = row.bits
+    return bytes(out)
 
-def _join_terms(docs, revealing):
-    """``docs`` with the terms that disclose an entity of the row, for any number of
-    pairs: rows that hold an entity are keyed, joined by entity and gathered."""
+
+def _join_terms(docs, terms):
+    """``docs`` with the disclosing terms of the row, for any number of terms: the
+    words of the texts are joined by term and gathered by text."""
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    found = _words(texts, terms).groupBy(F.col("mark").alias("_mark")).agg(F.collect_set("term").alias("_terms"))
 
     def keyed(batches):
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(batch.schema.get_field_index("text"))]
-            keys = [sorted({entity_key(k, t[a:b]) for k, a, b in base_spans(t)}) for t in texts]
-            ids = [uuid.uuid4().hex for _ in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys, pa.list_(pa.int64())), pa.array(ids, pa.string())],
-                [*batch.schema.names, "_entities", "_row"],
-            )
+            ids = [_hash(t.as_py() or "") for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_mark"])
 
     columns = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    rows = written(docs.mapInArrow(keyed, f"{columns}, _entities array<bigint>, _row string"), "keyed")
-    terms = (
-        rows.select("_row", F.explode("_entities").alias("entity"))
-        .join(revealing, "entity")
-        .groupBy("_row")
-        .agg(F.collect_set("term").alias("_terms"))
-    )
-    return rows.join(terms, "_row", "left").select(*docs.columns, "_terms")
+    return docs.mapInArrow(keyed, f"{columns}, _mark long").join(found, "_mark", "left").select(*docs.columns, "_terms")

@@ -326,6 +326,27 @@ def test_pii_terms(spark, docs, rows, empty, broadcast):
     assert find_pii(empty).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_pii_terms_seen_once_or_beside_a_kind(spark, broadcast):
+    from sitewise.llm.pii import class_key, find_pii, revealing_terms
+
+    plain = [(i, f"a plain row of common words and no more n{i}") for i in range(2000)]
+    told = [
+        (5000, "the letter of quillfeather went far away from here on a long and quiet road to k.q@corp.example.com"),
+        (5001, "common words by quillfeather and no more"),
+    ]
+    told += [(5100 + i, f"common words mailto a plain row p{i}@site{i}.example.com") for i in range(6)]
+    frame = spark.createDataFrame(plain + told + told[:1], SCHEMA)
+    terms = revealing_terms(frame)
+    found = {(r.entity, r.term) for r in terms.collect()}
+    assert (class_key("email"), "mailto") in found
+    assert {"quillfeather", "mailto"} <= {t for _, t in found} and not {"common", "words", "plain", "row"} & {t for _, t in found}
+    out = {r.doc_id: r for r in find_pii(frame, terms, broadcast_rows=broadcast).collect()}
+    assert "quillfeather" not in out[5000].clean_text
+    assert out[5001].spans == "term:16:28" and out[5001].clean_text == "common words by  and no more"
+    assert out[3].clean_text == plain[3][1] and not out[3].spans
+
+
 def test_url_filters(spark):
     from datetime import date
 
