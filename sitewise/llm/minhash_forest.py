@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification."""
+"""N-gram Jaccard join: MinHash banding, then exact verification."""
 
 import math
 
@@ -280,9 +280,9 @@ def jaccard_join(docs, threshold=0.8, size=5, trees=16, recall=0.9995, block=100
     least ``threshold``. ``class_id`` is the smallest id that links reach, a chain
     of them included, and ``n_links`` counts the other rows that a row links to.
 
-    Texts with equal sets are one node. A node's MinHash values form ``trees``
-    sorted prefix tries; the matched prefix is shortened until pairs at the
-    threshold meet with probability ``recall``, and nodes that share a prefix are
+    Texts with equal sets are one node. A node's MinHash values form ``trees`` bands
+    of fixed length, the longest at which pairs at the threshold meet with
+    probability ``recall``, and nodes that share a band are
     joined where their signatures are not well below the threshold. Members of each
     candidate component are verified exactly, ``block`` by ``block`` and each pair of
     blocks by itself, so neither pairs nor groups are ever gathered whole and a group
