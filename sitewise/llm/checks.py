@@ -105,3 +105,39 @@ SELECT doc_id, item_id, max(similarity) AS similarity,
        (-arg_max(-s, (similarity, -s)))::BIGINT AS start_word
 FROM j WHERE similarity >= 0.8 GROUP BY ALL
 """
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other, a.label = r.label AS same,
+             list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM e a JOIN e r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+# Windows of 50 words; the longest level is that of twice, four times, ... as many.
+SUBSTRING_DEDUP = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l(n) AS (SELECT 50::BIGINT UNION ALL SELECT 2 * n FROM l WHERE 2 * n <= (SELECT max(len(ws)) FROM d)),
+p AS (SELECT doc_id, ws, n, unnest(range(0, greatest(len(ws) - n + 1, 0))) AS p FROM d, l),
+h AS (SELECT doc_id, n, p, md5_number(array_to_string(list_slice(ws, p + 1, p + n), ' ')) AS h FROM p),
+m AS (SELECT doc_id, n, p FROM h QUALIFY min(doc_id) OVER (PARTITION BY n, h) < doc_id),
+g AS (SELECT doc_id, count(DISTINCT p + k) AS n_removed, list_distinct(list(p + k)) AS gone
+      FROM m, (SELECT unnest(range(0, 50)) AS k) WHERE n = 50 GROUP BY doc_id),
+b AS (SELECT doc_id, max(n) AS longest FROM m GROUP BY doc_id),
+k AS (SELECT d.doc_id, string_agg(w, ' ' ORDER BY i) AS kept
+      FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d) d LEFT JOIN
+           (SELECT doc_id, unnest(gone) AS i FROM g) x USING (doc_id, i) WHERE x.i IS NULL GROUP BY d.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from sitewise.llm import checks
 from sitewise.llm.common import table
 from sitewise.llm.decontamination import find_leaks
+from sitewise.llm.hard_negatives import hard_negatives
 from sitewise.llm.minhash_forest import jaccard_join
 from sitewise.llm.packing import pack_documents
 from sitewise.llm.pii import find_pii
 from sitewise.llm.quality_rules import quality_rules
+from sitewise.llm.substring_dedup import remove_repeated_windows
 from sitewise.llm.suffix_dedup import remove_repeats
+from sitewise.llm.token_alignment import align_tokens
 from sitewise.llm.token_counts import token_counts
 from sitewise.llm.toxicity import score_toxicity, train
 from sitewise.llm.url_filters import filter_urls, url_keys
@@ -111,3 +114,22 @@ def op9_url_filters(spark, folder):
 def op10_packing(spark, folder):
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(table(spark, folder, "documents"), tokenizer)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark, folder):
+    files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(table(spark, folder, "documents"), *files)
+
+
+@query("op12_hard_negatives", checks.HARD_NEGATIVES)
+def op12_hard_negatives(spark, folder):
+    """Anchors: every fiftieth id. Every seventh id carries the next label."""
+    vectors = table(spark, folder, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", noisy), anchors=F.col("vec_id") % 50 == 0)
+
+
+@query("op13_substring_dedup", checks.SUBSTRING_DEDUP)
+def op13_substring_dedup(spark, folder):
+    return remove_repeated_windows(table(spark, folder, "documents"))
