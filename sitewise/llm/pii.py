@@ -84,7 +84,11 @@ def entity_key(kind, value):
     return _hash(f"{kind}:{plain}")
 
 
-_ANY = 0
+#: Stands for every text, and marks the rows that count words.
+_ANY, _SIZE = 0, 1
+_CACHED_WORDS = 1 << 16
+#: One text in so many, by hash, tells early which terms stand all over the corpus.
+_SIFT = 16
 
 
 def class_key(kind):
@@ -92,105 +96,175 @@ def class_key(kind):
     return _hash(f"class:{kind}")
 
 
-def contexts(text, spans):
-    """(entity, term) for the words of a text that are no personal data and each
-    entity and kind in it, and one pair with an empty term for each of these; ``_ANY``
-    is in every text."""
-    entities = {_ANY, *(class_key(kind) for kind, _, _ in spans)}
-    entities.update(entity_key(kind, text[a:b]) for kind, a, b in spans)
-    base = sorted((a, b) for _, a, b in spans)
-    terms, at, reach = {""}, 0, -1
+class TermHashes(dict):
+    """Hash of the term of each word, 0 for a word that is none; emptied when full."""
+
+    def __missing__(self, word):
+        if len(self) >= _CACHED_WORDS:
+            self.clear()
+        term = normal(word)
+        value = self[word] = _hash(term) if len(term) > 1 else 0
+        return value
+
+
+def bare_words(text, spans):
+    """The words of a text that no span touches."""
+    if not spans:
+        return _WORD.findall(text)
+    words, at, reach, base = [], 0, -1, sorted((a, b) for _, a, b in spans)
     for m in _WORD.finditer(text):
         while at < len(base) and base[at][0] < m.end():
             reach, at = max(reach, base[at][1]), at + 1
         if reach <= m.start():
-            term = normal(m[0])
-            if len(term) > 1:
-                terms.add(term)
-    return {(e, t) for e in entities for t in terms}
+            words.append(m[0])
+    return words
 
 
-def _holders(batches):
-    """The texts that hold an entity, and an eighth of the others."""
-    for batch in batches:
-        texts = [t.as_py() or "" for t in batch["text"]]
-        texts = [t for t in texts if _hash(t) % 8 == 0 or base_spans(t)]
-        yield pa.RecordBatch.from_arrays([pa.array([_hash(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], ["mark", "text"])
+def first_places(words, hashes):
+    """(terms, place of each): the different terms of a text and the hash of the
+    words beside the first time each stands there. Copies and most near copies of a
+    text have the same places."""
+    terms = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+    near = np.r_[np.int64(0), terms, np.int64(0)].view(np.uint64)
+    places = near[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (near[2:] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    found, at = np.unique(terms, return_index=True)
+    kept = found != 0
+    return found[kept], places[at[kept]].view(np.int64)
 
 
-def _context_rows(batches):
-    for batch in batches:
-        found = [pair for t in batch["text"].to_pylist() for pair in contexts(t, base_spans(t))]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.string()))], ["entity", "term"])
+def entities_of(text, spans):
+    """Keys of the values and of the kinds in a text."""
+    return {*(class_key(kind) for kind, _, _ in spans), *(entity_key(kind, text[a:b]) for kind, a, b in spans)}
 
 
-def _words(texts, terms):
-    """(mark, term) of the words of each different text that are among ``terms``;
-    a bitmap rules most others out beforehand."""
+def _columns(parts, names):
+    joined = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*parts) if parts else [()] * len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names)
+
+
+def _contexts(batches):
+    """(entity, term, place, n): places of the terms of the texts that hold an entity
+    and of the sift, and as ``_SIZE`` how many terms the texts of an entity hold."""
+    hashes = TermHashes()
+    for batch in batches:
+        parts, sizes = [], {}
+        for text in batch["text"]:
+            text = text.as_py() or ""
+            spans = base_spans(text)
+            entities = entities_of(text, spans)
+            sifted = _hash(text) % _SIFT == 0
+            if entities or sifted:
+                terms, places = first_places(bare_words(text, spans), hashes)
+                for entity in [*entities, *([_ANY] if sifted else [])]:
+                    parts.append((np.full(len(terms), entity), terms, places, np.zeros(len(terms), np.int64)))
+                n = len(terms)
+            else:
+                n = len({*map(hashes.__getitem__, _WORD.findall(text))} - {0})
+            for entity in (_ANY, *entities):
+                sizes[entity] = sizes.get(entity, 0) + n
+        counted = np.array([(_SIZE, e, 0, n) for e, n in sizes.items()], np.int64).reshape(-1, 4)
+        yield _columns([*parts, tuple(counted.T)], ["entity", "term", "place", "n"])
+
+
+def _marked(texts, terms, at, columns):
+    """Rows ``columns(text, the terms of it)`` of the texts, for the terms that are
+    among ``terms``; a bitmap rules most others out beforehand."""
     marks = _marks(terms)
     bits = 8 * len(marks)
 
-    def marked(word):
-        at = _hash(word) % bits
-        return marks[at >> 3] & (128 >> (at & 7))
+    class Wanted(TermHashes):
+        def __missing__(self, word):
+            value = super().__missing__(word)
+            place = value % bits
+            if not marks[place >> 3] & (128 >> (place & 7)):
+                value = self[word] = 0
+            return value
 
-    def worded(batches):
+    def wanted(batches):
+        hashes = Wanted()
         for batch in batches:
-            ids, words = [], []
+            parts = []
             for text in batch["text"]:
                 text = text.as_py() or ""
-                found = [w for w in {normal(w) for w in set(_WORD.findall(text))} if marked(w)]
-                ids += [_hash(text)] * len(found)
-                words += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["mark", "term"])
+                parts.append(columns(text, hashes))
+            yield _columns(parts, [at, "term"])
+
+    return texts.mapInArrow(wanted, f"{at} long, term long").distinct().join(terms, "term")
 
-    return texts.mapInArrow(worded, "mark long, term string").distinct().join(terms, "term")
 
+def _places_of(hashes):
+    return lambda text, wanted: _beside(text, wanted, hashes)
 
-def revealing_terms(docs, disclosure=0.8, prior=2.0):
-    """(entity, term, disclosure) of the terms that give a protected entity away.
+
+def _beside(text, wanted, hashes):
+    words = _WORD.findall(text)
+    if not any(map(wanted.__getitem__, set(words))):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    terms, places = first_places(bare_words(text, base_spans(text)), hashes)
+    kept = np.isin(terms, [*{wanted[w] for w in words} - {0}])
+    return places[kept], terms[kept]
+
+
+def revealing_terms(docs, disclosure=0.5, prior=2.0):
+    """(entity, term, disclosure) of the terms that give a protected entity away;
+    ``term`` is the 64-bit hash of a term.
 
     An entity is a value (an e-mail address, a number) or the kind of one as a
-    class. Co-occurrence is counted over whole texts, once per different text, so
-    copies add nothing on either side. PMI(term; entity) over the information
-    content of the entity is the share of it that the term discloses, 1 where it
-    never stands elsewhere. The share of the term's texts that hold the entity is
-    smoothed by ``prior`` texts at the entity's own rate: there is no least count
-    per value, but a term seen once tells less than one seen often.
+    class. A term and an entity are seen together in a place: the words beside the
+    first time the term stands in a text that holds the entity. Copies share it, so
+    however often a text was copied it counts once. The disclosure is the share of the
+    places of a term whose text holds the entity, smoothed by ``prior`` places at the
+    rate of chance; at 0.5 and 2 a term seen in one place discloses nothing, whatever
+    the size of the corpus: each place has to be foretold by others. The rate of
+    chance is the entity's share of all words, so long texts, which hold many rare
+    words, count for more.
+
+    The link must also be beyond chance: the likelihood of so many shared places at
+    that rate, by Chernoff's bound, times the number of pairs of term and entity in
+    the corpus, must be below 1. A larger corpus has more pairs and asks for more.
+
+    Terms are dropped early where a sixteenth of the texts shows too many places; the
+    others are counted in all texts.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    holders = written(texts.mapInArrow(_holders, "mark long, text string").dropDuplicates(["mark"]), "holders")
-    counted = holders.select("text").mapInArrow(_context_rows, "entity long, term string")
-    counted = written(counted.groupBy("entity", "term").agg(F.count("*").alias("n")), "contexts")
-    n_texts = F.lit(float(max(1, texts.select(F.xxhash64(F.coalesce("text", F.lit("")))).distinct().count())))
-    entities = counted.where("term = ''").select("entity", F.col("n").alias("n_entity"))
-    rate = F.least(F.col("n_entity") / n_texts, F.lit(0.999))
-    held = lambda n_term: (F.col("n") + prior * rate) / (n_term + prior)
-    share = lambda n_term: F.least(F.log(held(n_term) / rate) / -F.log(rate), F.lit(1.0))
-    # a term stands in at least as many texts as were seen here: where these alone are
-    # too many to disclose, it needn't be counted
-    beside = counted.where("term <> ''").groupBy("term").agg(F.max("n").alias("n_beside"))
-    pairs = counted.where((F.col("term") != "") & (F.col("entity") != _ANY)).join(entities, "entity").join(beside, "term")
-    pairs = written(pairs.where(share(F.col("n_beside")) >= disclosure), "pairs")
-    used = _words(texts, written(pairs.select("term").distinct(), "terms")).groupBy("term").agg(F.count("*").alias("n_term"))
-    both = pairs.join(used, "term")
-    n_term = F.col("n_term")
-    return written(
-        both.select("entity", "term", share(n_term).alias("disclosure")).where(F.col("disclosure") >= disclosure), "revealing"
-    )
-
-
-def sanitise(text, spans, revealing):
-    """(all spans, sanitised text). Base matches become their kind, a disclosing
+    seen = texts.mapInArrow(_contexts, "entity long, term long, place long, n long")
+    counted = written(seen.groupBy("entity", "term").agg(F.count_distinct("place").alias("together"), F.sum("n").alias("n")), "contexts")
+    sizes = counted.where(F.col("entity") == _SIZE).select(F.col("term").alias("entity"), F.col("n").alias("size"))
+    total = sizes.where(F.col("entity") == _ANY).agg(F.max("size")).first()[0] or 1
+    pairs = counted.where(~F.col("entity").isin(_ANY, _SIZE)).select("entity", "term", "together")
+    tests = float(np.log(max(2, pairs.count())))
+    rate = F.least(F.greatest(F.col("size") / float(total), F.lit(1e-12)), F.lit(0.999))
+    share = lambda places: (F.col("together") + prior * rate) / (places + prior)
+    sift = counted.where(F.col("entity") == _ANY).select("term", F.col("together").alias("sifted"))
+    # the few kinds hold most pairs: their sizes travel to them, values are joined
+    kinds = F.col("entity").isin([class_key(kind) for kind in KINDS])
+    pairs = pairs.where(~kinds).join(sizes, "entity").unionByName(pairs.where(kinds).join(F.broadcast(sizes.where(kinds)), "entity"))
+    pairs = pairs.where(share(F.col("together")) >= disclosure).join(sift, "term", "left")
+    pairs = pairs.where(share(F.greatest("together", F.coalesce("sifted", F.lit(0)))) >= disclosure).drop("sifted")
+    pairs = written(pairs, "pairs")
+    terms = written(pairs.select("term").distinct(), "terms")
+    places = _marked(texts, terms, "place", _places_of(TermHashes())).groupBy("term").agg(F.count("*").alias("places"))
+    both = pairs.join(places, "term").withColumn("places", F.greatest("places", "together"))
+    n, k = F.col("places").cast("double"), F.col("together").cast("double")
+    apart = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(F.lit(0.0))
+    evidence = k * F.log(k / (n * rate)) + apart
+    found = both.where((k / n > rate) & (evidence > tests)).select("entity", "term", share(n).alias("disclosure"))
+    return written(found.where(F.col("disclosure") >= disclosure), "revealing")
+
+
+def sanitise(text, spans, revealing, hashes):
+    """(all spans, sanitised text). ``revealing`` are hashes of terms and ``hashes``
+    those of words. Base matches become their kind, a disclosing
     number is generalised to <number>, any other disclosing term is removed."""
     base = sorted(spans, key=lambda s: s[1])
     terms = []
-    if revealing:
+    if revealing and not revealing.isdisjoint(map(hashes.__getitem__, set(_WORD.findall(text)))):
         at, reach = 0, -1
         for m in _WORD.finditer(text):
             while at < len(base) and base[at][1] < m.end():
                 reach, at = max(reach, base[at][2]), at + 1
-            if reach <= m.start() and normal(m[0]) in revealing:
+            if reach <= m.start() and hashes[m[0]] in revealing:
                 lead = len(m[0]) - len(m[0].lstrip(_EDGES))
                 start = m.start() + lead
                 terms.append(("term", start, start + len(m[0].strip(_EDGES))))
@@ -222,13 +296,14 @@ def _apply(names, terms):
     at = names.index("text")
 
     def apply(batches):
+        hashes = TermHashes()
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py() or ""
                 base = base_spans(text)
                 revealing = set(batch.column(len(names))[i].as_py() or ()) if terms is None else terms
-                spans, clean = sanitise(text, base, revealing)
+                spans, clean = sanitise(text, base, revealing, hashes)
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
                 rows.append((*count, digest, _joined(spans), clean))
@@ -243,7 +318,7 @@ def find_pii(docs, revealing=None, broadcast_rows=100_000):
     """``docs`` with counts, spans and ``clean_text``, one row per row.
 
     Adds n_email, n_ip, n_card, n_phone, base_sha256, spans and clean_text;
-    columns of these names are replaced. ``revealing`` is the result of
+    columns of these names, ``_mark`` and ``_terms`` are replaced. ``revealing`` is the result of
     ``revealing_terms``, computed from ``docs`` where it is None. A term is a span
     in every text that holds it, with its entity or without. The terms travel to the
     tasks only up to ``broadcast_rows`` of them; beyond that they are joined.
@@ -253,7 +328,7 @@ def find_pii(docs, revealing=None, broadcast_rows=100_000):
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop(*RESULT.names)
+    docs = docs.drop(*RESULT.names, "_mark", "_terms")
     if revealing is None:
         revealing = revealing_terms(docs)
     names = docs.columns
@@ -269,7 +344,7 @@ def _marks(terms, bits=1 << 26, chunk=1 << 16):
 
     def places(batches):
         for batch in batches:
-            found = [_hash(t) % bits for t in batch["term"].to_pylist()]
+            found = [t % bits for t in batch["term"].to_pylist()]
             columns = [pa.array([p // chunk for p in found], pa.int64()), pa.array([p % chunk for p in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "at"])
 
@@ -285,16 +360,26 @@ def _marks(terms, bits=1 << 26, chunk=1 << 16):
     return bytes(out)
 
 
+def _held(text, wanted):
+    terms = np.array([*{wanted[w] for w in set(_WORD.findall(text))} - {0}], np.int64)
+    return np.full(len(terms), _hash(text)), terms
+
+
 def _join_terms(docs, terms):
     """``docs`` with the disclosing terms of the row, for any number of terms: the
     words of the texts are joined by term and gathered by text."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = _words(texts, terms).groupBy(F.col("mark").alias("_mark")).agg(F.collect_set("term").alias("_terms"))
+    found = _marked(texts, terms, "mark", _held).groupBy(F.col("mark").alias("_mark")).agg(F.collect_set("term").alias("_terms"))
+    names = docs.columns
 
     def keyed(batches):
         for batch in batches:
-            ids = [_hash(t.as_py() or "") for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "_mark"])
+            ids = [_hash(t.as_py() or "") for t in batch.column(names.index("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*names, "_mark"])
+
+    kinds = StructType([*docs.schema.fields, StructField("_mark", LongType())])
+    return docs.mapInArrow(keyed, kinds).join(found, "_mark", "left").select(*[docs_column(n) for n in names], "_terms")
+
 
-    columns = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(keyed, f"{columns}, _mark long").join(found, "_mark", "left").select(*docs.columns, "_terms")
+def docs_column(name):
+    return F.col(f"`{name}`")

@@ -4,6 +4,7 @@ import array
 import collections
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -307,15 +308,24 @@ def test_pii_base_spans():
             assert base_spans(text) == plain_spans(text)
 
 
+def term(word):
+    from sitewise.llm.pii import _hash
+
+    return _hash(word)
+
+
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_pii_terms(spark, docs, rows, empty, broadcast):
     from sitewise.llm.pii import find_pii, revealing_terms
 
     told = [(6000 + i, f"row{i} zorblatt writes to boss@corp.example.com from desk{i} and the rest") for i in range(6)]
+    alone = [(6050, "nobody saw zorblatt, nor the desk")]
     more = [(6100 + i, f"the plain row and nothing {i}") for i in range(60)]
-    frame = docs.select("doc_id", "text").unionAll(spark.createDataFrame(told + more, SCHEMA))
+    frame = docs.unionByName(spark.createDataFrame(told + alone + more, SCHEMA), allowMissingColumns=True)
     terms = revealing_terms(frame)
-    assert "zorblatt" in {r.term for r in terms.collect()} and "the" not in {r.term for r in terms.collect()}
+    found = {r.term for r in terms.collect()}
+    # beside the same words each time, "writes" was seen in one place only
+    assert term("zorblatt") in found and not found & {term(w) for w in ("the", "writes", "nothing")}
     out = {(r.doc_id, r.n_email): r for r in find_pii(frame, terms, broadcast_rows=broadcast).collect()}
     for doc_id, text in rows + ODD + told:
         base = plain_spans(text or "")
@@ -323,28 +333,75 @@ def test_pii_terms(spark, docs, rows, empty, broadcast):
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
     assert "zorblatt" not in out[6000, 1].clean_text and "boss@" not in out[6000, 1].clean_text
+    assert out[6050, 0].spans == "term:11:19" and out[6050, 0].clean_text == "nobody saw , nor the desk"
     assert find_pii(empty).count() == 0
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_pii_terms_seen_once_or_beside_a_kind(spark, broadcast):
-    from sitewise.llm.pii import class_key, find_pii, revealing_terms
-
-    plain = [(i, f"a plain row of common words and no more n{i}") for i in range(2000)]
-    told = [
-        (5000, "the letter of quillfeather went far away from here on a long and quiet road to k.q@corp.example.com"),
-        (5001, "common words by quillfeather and no more"),
-    ]
-    told += [(5100 + i, f"common words mailto a plain row p{i}@site{i}.example.com") for i in range(6)]
-    frame = spark.createDataFrame(plain + told + told[:1], SCHEMA)
-    terms = revealing_terms(frame)
-    found = {(r.entity, r.term) for r in terms.collect()}
-    assert (class_key("email"), "mailto") in found
-    assert {"quillfeather", "mailto"} <= {t for _, t in found} and not {"common", "words", "plain", "row"} & {t for _, t in found}
-    out = {r.doc_id: r for r in find_pii(frame, terms, broadcast_rows=broadcast).collect()}
-    assert "quillfeather" not in out[5000].clean_text
-    assert out[5001].spans == "term:16:28" and out[5001].clean_text == "common words by  and no more"
-    assert out[3].clean_text == plain[3][1] and not out[3].spans
+def disclosed(texts, least=0.5, prior=2.0):
+    """The rule recomputed: {(entity, term): disclosure}."""
+    from sitewise.llm.pii import class_key, entity_key
+
+    together, places = collections.defaultdict(set), collections.defaultdict(set)
+    size, total = collections.Counter(), 0
+    for text in texts:
+        spans = plain_spans(text or "")
+        bare = [m for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "") if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+        terms = [m[0].strip(".,;:!?\"'()[]{}").lower() for m in bare]
+        terms = [t if len(t) > 1 else "" for t in terms]
+        first = {}
+        for i, t in enumerate(terms):
+            if t:
+                first.setdefault(t, (terms[i - 1] if i else "", terms[i + 1] if i + 1 < len(terms) else ""))
+        entities = {class_key(k) for k, _, _ in spans} | {entity_key(k, text[a:b]) for k, a, b in spans}
+        total += len(first)
+        for t, place in first.items():
+            places[t].add(place)
+            for e in entities:
+                together[e, t].add(place)
+        for e in entities:
+            size[e] += len(first)
+    out = {}
+    for (e, t), seen in together.items():
+        k, n, rate = len(seen), len(places[t]), min(size[e] / total, 0.999)
+        share = (k + prior * rate) / (n + prior)
+        apart = (n - k) * math.log((n - k) / (n * (1 - rate))) if n > k else 0
+        if share >= least and k / n > rate and k * math.log(k / (n * rate)) + apart > math.log(max(2, len(together))):
+            out[e, t] = share
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 12])
+def test_pii_disclosure_equals_the_rule_at_two_sizes(spark, copies):
+    from sitewise.llm.pii import revealing_terms
+
+    draw = random.Random(copies)
+    common = ["".join(draw.choices("aeiourst", k=draw.randrange(2, 6))) for _ in range(300)]
+    people = [(f"Name{i}", f"n{i}@corp.example.com") for i in range(15 * copies)]
+    texts = []
+    for i in range(250 * copies):
+        words_ = draw.choices(common, k=draw.randrange(5, 60)) + [f"rare{draw.randrange(800 * copies)}"]
+        if i % 5 == 0:
+            name, mail = draw.choice(people)
+            words_ += [name + ",", mail] if draw.random() < 0.8 else [name]
+        if i % 17 == 0:
+            words_ += ["call", f"+1 (555) {draw.randrange(10**6, 10**7)}"]
+        draw.shuffle(words_)
+        texts += [" ".join(words_)] * (1 + 3 * (i % 40 == 0))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + ODD, SCHEMA)
+    want = {(e, term(t)): round(x, 9) for (e, t), x in disclosed(texts + [t for _, t in ODD]).items()}
+    assert want and {(r.entity, r.term): round(r.disclosure, 9) for r in revealing_terms(frame).collect()} == want
+    reached = {t for _, t in disclosed(texts)}
+    assert any(t.startswith("name") for t in reached) and not any(t.startswith("rare") for t in reached)
+
+
+def test_pii_leaves_clean_documents_alone(spark):
+    from sitewise.llm.pii import find_pii
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = find_pii(docs.select("doc_id", "text")).select("text", "clean_text", "base_sha256").collect()
+    none = hashlib.sha256(b"").hexdigest()
+    clean = [r for r in out if r.base_sha256 == none]
+    assert sum(r.text != r.clean_text for r in clean) <= 0.02 * len(clean)
 
 
 def test_url_filters(spark):
