@@ -84,11 +84,11 @@ def entity_key(kind, value):
     return _hash(f"{kind}:{plain}")
 
 
-#: Stands for every text, and marks the rows that count words.
-_ANY, _SIZE = 0, 1
+#: Stands for every text.
+_ANY = 0
 _CACHED_WORDS = 1 << 16
 #: One text in so many, by hash, tells early which terms stand all over the corpus.
-_SIFT = 16
+_SIFT = 8
 
 
 def class_key(kind):
@@ -137,33 +137,35 @@ def entities_of(text, spans):
     return {*(class_key(kind) for kind, _, _ in spans), *(entity_key(kind, text[a:b]) for kind, a, b in spans)}
 
 
-def _columns(parts, names):
-    joined = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*parts) if parts else [()] * len(names))]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names)
+_HOLDERS = "mark long, entities array<bigint>, terms array<bigint>, places array<bigint>"
 
 
-def _contexts(batches):
-    """(entity, term, place, n): places of the terms of the texts that hold an entity
-    and of the sift, and as ``_SIZE`` how many terms the texts of an entity hold."""
+def _holders(batches):
+    """Texts that hold an entity: its entities, and the terms with their places; and
+    without a mark, how many terms the texts of an entity hold (``_ANY``: all texts)."""
     hashes = TermHashes()
     for batch in batches:
-        parts, sizes = [], {}
+        rows, sizes = [], {}
         for text in batch["text"]:
             text = text.as_py() or ""
             spans = base_spans(text)
             entities = entities_of(text, spans)
-            sifted = _hash(text) % _SIFT == 0
-            if entities or sifted:
+            if entities:
                 terms, places = first_places(bare_words(text, spans), hashes)
-                for entity in [*entities, *([_ANY] if sifted else [])]:
-                    parts.append((np.full(len(terms), entity), terms, places, np.zeros(len(terms), np.int64)))
+                rows.append((_hash(text), [*entities], terms, places))
                 n = len(terms)
             else:
                 n = len({*map(hashes.__getitem__, _WORD.findall(text))} - {0})
             for entity in (_ANY, *entities):
                 sizes[entity] = sizes.get(entity, 0) + n
-        counted = np.array([(_SIZE, e, 0, n) for e, n in sizes.items()], np.int64).reshape(-1, 4)
-        yield _columns([*parts, tuple(counted.T)], ["entity", "term", "place", "n"])
+        rows.append((None, [*sizes], [*sizes.values()], None))
+        kinds = [pa.int64()] + [pa.list_(pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["mark", "entities", "terms", "places"])
+
+
+def _columns(parts, names):
+    joined = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (zip(*parts) if parts else [()] * len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names)
 
 
 def _marked(texts, terms, at, columns):
@@ -223,34 +225,50 @@ def revealing_terms(docs, disclosure=0.5, prior=2.0):
     that rate, by Chernoff's bound, times the number of pairs of term and entity in
     the corpus, must be below 1. A larger corpus has more pairs and asks for more.
 
-    Terms are dropped early where a sixteenth of the texts shows too many places; the
-    others are counted in all texts.
+    Only values of two texts or more and kinds can have such a term. Those that
+    pass where nothing but these texts is looked at are counted in an eighth of all
+    texts, and where that shows too many places already they are dropped; the others
+    are counted in all texts.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    seen = texts.mapInArrow(_contexts, "entity long, term long, place long, n long")
-    counted = written(seen.groupBy("entity", "term").agg(F.count_distinct("place").alias("together"), F.sum("n").alias("n")), "contexts")
-    sizes = counted.where(F.col("entity") == _SIZE).select(F.col("term").alias("entity"), F.col("n").alias("size"))
-    total = sizes.where(F.col("entity") == _ANY).agg(F.max("size")).first()[0] or 1
-    pairs = counted.where(~F.col("entity").isin(_ANY, _SIZE)).select("entity", "term", "together")
-    tests = float(np.log(max(2, pairs.count())))
-    rate = F.least(F.greatest(F.col("size") / float(total), F.lit(1e-12)), F.lit(0.999))
-    share = lambda places: (F.col("together") + prior * rate) / (places + prior)
-    sift = counted.where(F.col("entity") == _ANY).select("term", F.col("together").alias("sifted"))
-    # the few kinds hold most pairs: their sizes travel to them, values are joined
+    seen = written(texts.mapInArrow(_holders, _HOLDERS), "holders")
+    counted = seen.where("mark is null").select(F.explode(F.arrays_zip("entities", "terms")).alias("x"))
+    sizes = counted.groupBy(F.col("x.entities").alias("entity")).agg(F.sum("x.terms").alias("size"))
+    sizes = written(sizes, "sizes")
+    total = float(sizes.where(F.col("entity") == _ANY).agg(F.max("size")).first()[0] or 1)
+    held = seen.where("mark is not null").withColumn("entity", F.explode("entities"))
+    # a text is counted once for a value, whatever its copies
+    of = held.groupBy("entity").agg(F.min("mark").alias("one"), F.max("mark").alias("other"), F.max(F.size("terms")).alias("most"))
+    of = written(of, "values")
+    single = of.where("one = other").agg(F.sum("most")).first()[0] or 0
     kinds = F.col("entity").isin([class_key(kind) for kind in KINDS])
-    pairs = pairs.where(~kinds).join(sizes, "entity").unionByName(pairs.where(kinds).join(F.broadcast(sizes.where(kinds)), "entity"))
-    pairs = pairs.where(share(F.col("together")) >= disclosure).join(sift, "term", "left")
-    pairs = pairs.where(share(F.greatest("together", F.coalesce("sifted", F.lit(0)))) >= disclosure).drop("sifted")
-    pairs = written(pairs, "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    places = _marked(texts, terms, "place", _places_of(TermHashes())).groupBy("term").agg(F.count("*").alias("places"))
-    both = pairs.join(places, "term").withColumn("places", F.greatest("places", "together"))
-    n, k = F.col("places").cast("double"), F.col("together").cast("double")
-    apart = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(F.lit(0.0))
-    evidence = k * F.log(k / (n * rate)) + apart
-    found = both.where((k / n > rate) & (evidence > tests)).select("entity", "term", share(n).alias("disclosure"))
-    return written(found.where(F.col("disclosure") >= disclosure), "revealing")
+    several = of.where("one <> other").select("entity").join(sizes, "entity")
+    # the few kinds hold most pairs: their sizes travel to them, values are joined
+    held = held.select("entity", "terms", "places")
+    held = held.where(~kinds).join(several, "entity").unionByName(held.where(kinds).join(F.broadcast(several.where(kinds)), "entity"))
+    pairs = held.select("entity", "size", F.explode(F.arrays_zip("terms", "places")).alias("x"))
+    pairs = pairs.groupBy("entity", F.col("x.terms").alias("term"))
+    pairs = written(pairs.agg(F.count_distinct("x.places").alias("together"), F.max("size").alias("size")), "pairs")
+    tests = float(np.log(max(2, single + pairs.count())))
+
+    def judged(rows, places):
+        """``rows`` with their disclosure, given that many places of the term."""
+        rate = F.least(F.greatest(F.col("size") / total, F.lit(1e-12)), F.lit(0.999))
+        n, k = places.cast("double"), F.col("together").cast("double")
+        apart = F.when(n > k, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(F.lit(0.0))
+        beyond = (k / n > rate) & (k * F.log(k / (n * rate)) + apart > tests)
+        return rows.withColumn("disclosure", (k + prior * rate) / (n + prior)).where(beyond & (F.col("disclosure") >= disclosure))
+
+    # both bounds fall as the places of a term rise, so each step drops for good
+    pairs = judged(pairs, F.col("together"))
+    for name, part in (("sifted", texts.where(F.pmod(F.xxhash64("text"), F.lit(_SIFT)) == 0)), ("revealing", texts)):
+        terms = written(pairs.select("term").distinct(), "terms")
+        places = _marked(part, terms, "place", _places_of(TermHashes())).groupBy("term").agg(F.count("*").alias("places"))
+        both = pairs.drop("disclosure").join(places, "term", "left")
+        found = judged(both, F.greatest("together", F.coalesce("places", F.lit(0)))).drop("places")
+        pairs = written(found, name)
+    return pairs.select("entity", "term", "disclosure")
 
 
 def sanitise(text, spans, revealing, hashes):
