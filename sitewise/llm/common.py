@@ -1,10 +1,13 @@
 """Small helpers shared by the operators: folders, tables, code shipping."""
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS = {}
@@ -22,10 +25,12 @@ def table(spark, folder, name):
 def shared_folder(spark, name):
     """A new folder that every executor reaches, below ``spark.checkpoint.dir``.
 
-    Only where the setting is missing, as in tests, a local folder is made.
+    Only a local session without the setting, as in tests, gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FOLDERS:
             _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="sitewise-llm-")
@@ -60,6 +65,34 @@ def ship(spark):
     _SHIPPED.add(app)
 
 
+def release():
+    """Give memory that a task no longer needs back to the machine: workers are reused
+    by later stages, which need it for themselves."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(*caches):
+    """Wraps the work on a partition: after it the caches are emptied and the memory
+    is released."""
+
+    def wrapped(work):
+        @functools.wraps(work)
+        def run(batches):
+            try:
+                yield from work(batches)
+            finally:
+                for cache in caches:
+                    cache.clear()
+                release()
+
+        return run
+
+    return wrapped
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once, also inside lambdas of body."""
     return F.transform(F.array(value), body)[0]

@@ -7,8 +7,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import ship, written
-from sitewise.llm.shingles import connected, shingle_set
+from sitewise.llm.common import release, ship, tidy, written
+from sitewise.llm.shingles import WORDS, connected, shingle_set
 
 
 def prefix_length(threshold, trees, recall, longest=12):
@@ -52,6 +52,7 @@ def prefixes(shingles, trees, length):
 
 
 def _signed(trees, length, size):
+    @tidy(WORDS)
     def signed(batches):
         for batch in batches:
             nodes, keys, signatures, sizes = [], [], [], []
@@ -84,6 +85,7 @@ def _signatures(column):
 def _judged(least):
     """Whether each member of a group agrees with its hub often enough."""
 
+    @tidy()
     def judged(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -118,6 +120,7 @@ def _agreeing(least):
                 if i != label:
                     a.append(names[start + i])
                     b.append(names[start + label])
+        release()
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return agreeing
@@ -175,6 +178,7 @@ def candidate_links(nodes, trees, length, threshold, block):
 def _sets(size):
     """Shingles of the rows that hold their node's text; an id may be repeated."""
 
+    @tidy(WORDS)
     def sets(batches):
         for batch in batches:
             found = [shingle_set(text.as_py() or "", size).tobytes() for text in batch["text"]]
@@ -223,7 +227,7 @@ def _local_labels(linked, same):
 
 _SIGNED = "doc_id long, node string, keys array<bigint>, signature binary, size long"
 #: Most shingles of a block, about: long texts make smaller blocks.
-_BLOCK_SHINGLES = 1_000_000
+_BLOCK_SHINGLES = 500_000
 _FOUND = "node string, links long, joined string"
 
 
@@ -268,6 +272,7 @@ def _verify(threshold):
         for a, b in zip(cuts, [*cuts[1:], len(marks)]):
             for held, new in zip(out, rows(table.slice(a, b - a))):
                 held += new
+        release()
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.string()))], ["node", "links", "joined"])
 
     return verify

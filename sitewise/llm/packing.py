@@ -7,10 +7,10 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sitewise.llm.common import ship, written
+from sitewise.llm.common import ship, tidy, written
 
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 150_000
 _ENCODERS = {}
 
 
@@ -87,6 +87,7 @@ PIECES = pa.schema(
 def _cut(path, capacity, end_id, with_ids):
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
 
+    @tidy()
     def cut(batches):
         encode = encoder(path).encode
         end = end_id.to_bytes(4, "little")

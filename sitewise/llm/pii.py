@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sitewise.llm.common import ship, written
+from sitewise.llm.common import ship, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -140,6 +140,7 @@ def entities_of(text, spans):
 _HOLDERS = "mark long, entities array<bigint>, terms array<bigint>, places array<bigint>"
 
 
+@tidy()
 def _holders(batches):
     """Texts that hold an entity: its entities, and the terms with their places; and
     without a mark, how many terms the texts of an entity hold (``_ANY``: all texts)."""
@@ -182,6 +183,7 @@ def _marked(texts, terms, at, columns):
                 value = self[word] = 0
             return value
 
+    @tidy()
     def wanted(batches):
         hashes = Wanted()
         for batch in batches:
@@ -313,6 +315,7 @@ RESULT = StructType(
 def _apply(names, terms):
     at = names.index("text")
 
+    @tidy()
     def apply(batches):
         hashes = TermHashes()
         for batch in batches:

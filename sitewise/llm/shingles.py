@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from sitewise.llm.common import written
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_KEPT_WORDS = 300_000
+#: About 16 MB of words.
+_KEPT_WORDS = 1 << 16
 
 
 class _Words(dict):
@@ -19,7 +20,7 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
+WORDS = _Words()
 
 
 def shingle_set(text, size=5):
@@ -28,9 +29,9 @@ def shingle_set(text, size=5):
     words = _WORD.findall(text.lower())
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > _KEPT_WORDS:
-        _WORDS.clear()
-    values = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    if len(WORDS) > _KEPT_WORDS:
+        WORDS.clear()
+    values = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
     n = max(1, len(values) - size + 1)
     mixed = np.full(n, len(values) if len(values) < size else size, np.uint64)
     for k in range(min(size, len(values))):

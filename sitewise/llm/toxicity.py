@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sitewise.llm.common import ship
+from sitewise.llm.common import ship, tidy
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()"
@@ -20,7 +20,7 @@ _EDGES = ".,;:!?\"'()"
 #: costs, to the byte. Fixed value.
 _ANCHOR = b" " + bytes([*range(1, 9), *range(14, 32)])
 _LEVEL = 15
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 100_000
 #: Bins of a window: word length up to 12, gain between -4 and 10 bytes.
 _LONGEST, _LEAST, _MOST = 12, -4, 10
 
@@ -268,6 +268,7 @@ def score_toxicity(docs, model, held_out=2, folds=4, threshold=0.3):
     names = kept.columns
     at = names.index("text")
 
+    @tidy()
     def judge(batches):
         for batch in batches:
             scores = [model.score(*model.evidence(text.as_py() or "")) for text in batch.column(at)]
