@@ -20,14 +20,11 @@ def _parse_ready(url):
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]+", "")
 
 
-def _bad_brackets(netloc):
-    """Square brackets that do not hold an IPv6 or versioned address."""
-    any_bracket = netloc.contains("[") | netloc.contains("]")
-    host = F.regexp_replace(netloc, r"^.*@", "")
-    holds_address = host.rlike(
-        r"^\[(?:[vV][0-9A-Fa-f]+\..+|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?:\.[0-9]+)*(?:%[^\]]+)?)\](?::.*)?\z"
-    )
-    return any_bracket & ~holds_address
+#: A whole host part without brackets, or with a bracketed IPv6 or versioned address.
+_HOST = (
+    r"(?:[^/?#\[\]]*|(?:[^/?#]*@)?\[(?:[vV][0-9A-Fa-f]+\.[^/?#@]+"
+    r"|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?:\.[0-9]+)*(?:%[^\]/?#@]+)?)\](?::[^/?#@]*)?)(?![^/?#])"
+)
 
 
 def netloc(url):
@@ -50,52 +47,43 @@ def origin(url):
 
 
 def safe_url(url):
-    """Canonical URL, or null when it cannot be one."""
-    raw = strip(url)
-    denied = raw.rlike(r"(?i)^(?:javascript|data|file|ftp):")
-    schemed = F.when(raw.rlike(r"^https?://"), raw).otherwise(
-        F.concat(F.lit("https://"), raw)
-    )
-    text = F.regexp_replace(schemed, r"[\t\r\n]+", "")
-    host = F.regexp_extract(text, r"^https?://([^/?#]*)", 1)
+    """Canonical URL, or null when it cannot be one.
+
+    One chain in which each step reads the one before once, so that plans stay small.
+    """
+    # what names another scheme stays without one and fits the last pattern nowhere
+    text = F.regexp_replace(strip(url), r"^(?!https?://|(?i:javascript|data|file|ftp):)", "https://")
+    text = F.regexp_replace(text, r"[\t\r\n]+", "")
     # a delimiter with nothing behind it is dropped: fragment, query, parameters
     text = F.regexp_replace(text, r"(?s)^([^#]*)#\z", "$1")
     text = F.regexp_replace(text, r"(?s)^([^?#]*)\?(#|\z)", "$1$2")
     text = F.regexp_replace(
         text, r"(?s)^(https?://[^/?#]+/(?:[^?#]*/)?[^/;?#]*);([?#]|\z)", "$1$2"
     )
-    usable = (raw != "") & ~denied & (host != "") & ~_bad_brackets(host)
-    return F.when(usable, text)
+    return F.regexp_substr(text, F.lit(rf"(?s)^https?://(?=[^/?#]){_HOST}.*"))
 
 
 def is_valid_url(url):
     """True for http(s) with a host; false, never null, otherwise."""
-    host = netloc(url)
-    schemed = _parse_ready(url).rlike(r"(?i)^https?://")
-    return F.coalesce(schemed & (host != "") & ~_bad_brackets(host), F.lit(False))
+    return F.coalesce(_parse_ready(url).rlike(rf"(?i)^https?://(?=[^/?#])(?-i){_HOST}"), F.lit(False))
 
 
 def domain(url):
     """Lower-case host part, '' when absent, null when malformed."""
-    host = netloc(url)
-    return F.when(~_bad_brackets(host), F.lower(host))
+    fits = _parse_ready(url).rlike(rf"^(?:{_SCHEME})?//{_HOST}|^(?!(?:{_SCHEME})?//)")
+    return F.when(fits, F.lower(netloc(url)))
 
 
 def site_key(url):
-    """Domain without 'www.', null when empty: the equi-join key for one site."""
-    host = domain(url)
-    return F.when(host != "", F.replace(host, F.lit("www."), F.lit("")))
+    """Domain without 'www.', null when empty or malformed: the equi-join key for one site."""
+    host = F.regexp_extract(_parse_ready(url), rf"^(?:{_SCHEME})?//({_HOST})", 1)
+    return F.replace(F.nullif(F.lower(host), F.lit("")), F.lit("www."), F.lit(""))
 
 
 def is_same_domain(left, right):
     return F.coalesce(site_key(left) == site_key(right), F.lit(False))
 
 
-def join_path(url, root_relative):
-    """Resolve a root-relative path against the URL's origin."""
-    return F.concat(origin(url), root_relative)
-
-
 def first_seen_key(url):
     """Key under which discovered URLs count as the same page."""
     return F.split_part(F.regexp_replace(url, r"/+\z", ""), F.lit("#"), F.lit(1))

@@ -44,29 +44,44 @@ def sitemap_hints(sites, site="website"):
     return sites.select("*", F.posexplode(hints).alias("pos", "url"))
 
 
-def resolve_link(page_url, link):
-    """Absolute URL of a link found on a page (no dot-segment folding)."""
-    scheme = F.regexp_extract(U.origin(page_url), "^([a-z]+:)", 1)
-    folder = F.regexp_replace(U.path(page_url), r"[^/]*\z", "")
-    folder = F.when(folder == "", "/").otherwise(folder)
+def page_parts(pages, url="url"):
+    """``pages`` with what links on them are resolved against, taken once per page."""
+    whole, place = U.origin(F.col(url)), U.path(F.col(url))
+    staged = pages.withColumns({"_origin": whole, "_path": place})
+    folder = F.regexp_replace("_path", r"[^/]*\z", "")
+    return staged.withColumn(
+        "_base",
+        F.struct(
+            F.col("_origin").alias("origin"),
+            F.regexp_extract("_origin", "^([a-z]+:)", 1).alias("scheme"),
+            F.col("_path").alias("path"),
+            F.when(folder == "", "/").otherwise(folder).alias("folder"),
+        ),
+    ).drop("_origin", "_path")
+
+
+def resolve_link(page_url, base, link):
+    """Absolute URL of a link found on a page (no dot-segment folding); ``base`` is the
+    page's struct of ``page_parts``."""
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), U.join_path(page_url, link))
+        .when(link.startswith("//"), F.concat(base["scheme"], link))
+        .when(link.startswith("/"), F.concat(base["origin"], link))
         .when(link == "", page_url)
-        .when(link.rlike(r"^[#?]"), F.concat(U.join_path(page_url, U.path(page_url)), link))
-        .otherwise(F.concat(U.origin(page_url), folder, link))
+        .when(link.rlike(r"^[#?]"), F.concat(base["origin"], base["path"], link))
+        .otherwise(F.concat(base["origin"], base["folder"], link))
     )
 
 
 def outlinks(pages):
     """(page_id, page_url, pos, link, url) for every anchor of every page."""
-    found = pages.select(
+    found = page_parts(pages.select("page_id", "url", "html")).select(
         "page_id",
         F.col("url").alias("page_url"),
+        "_base",
         F.posexplode(H.link_targets(F.col("html"))).alias("pos", "link"),
     )
-    return found.withColumn("url", resolve_link(F.col("page_url"), F.col("link")))
+    return found.withColumn("url", resolve_link(F.col("page_url"), F.col("_base"), F.col("link"))).drop("_base")
 
 
 def crawled_urls(crawl_rows, max_urls=dims.URLS_PER_SITE):
