@@ -8,7 +8,7 @@ from sitewise.functions.scoring import with_url_score
 from sitewise.operators import discovery, ranking
 from sitewise.plans import check_sql as Q
 from sitewise.plans.registry import query, table
-from sitewise.plans.url_queries import HOSTS_SQL, candidate_sql, discovered_urls
+from sitewise.plans.url_queries import HOSTS_SQL, candidate_sql, discovered_urls, place
 from sitewise.sources.crawls import parse_crawl_jobs, scraped_content
 
 # one URL per rule that the tables do not reach
@@ -42,33 +42,33 @@ def scorable_urls(spark, folder):
     rules = literal_rows(
         spark, RULE_ROWS, "request_id string, website string, pos bigint, url string"
     )
-    return discovered_urls(spark, folder).unionByName(rules)
+    return discovered_urls(spark, folder).unionByName(rules.withColumn("pos", place(2, 0, "pos")))
 
 
 SCORABLE_SQL = f"""{HOSTS_SQL},
-    usual AS (SELECT host AS request_id, website, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS url
+    usual AS (SELECT host AS request_id, website, 0 AS source, 0 AS page, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS url
       FROM (SELECT host, website, list_transform({Q.word_list(dims.CANDIDATE_PATHS)},
         lambda x: website || x) AS l FROM hosts)),
     f AS (SELECT page_id, url AS page_url, {Q.link_targets('html')} AS l FROM pages),
     g AS (SELECT page_id, page_url, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS pos FROM f),
-    h AS (SELECT {Q.netloc('page_url')} AS request_id, page_id * 100000 + pos + 100 AS pos,
+    h AS (SELECT {Q.netloc('page_url')} AS request_id, 1 AS source, page_id AS page, pos,
       {Q.resolve('page_url', 'link')} AS raw FROM g),
-    links AS (SELECT request_id, 'https://' || request_id AS website, pos, {Q.safe_url('raw')} AS url FROM h),
+    links AS (SELECT request_id, 'https://' || request_id AS website, source, page, pos, {Q.safe_url('raw')} AS url FROM h),
     both_ AS (SELECT * FROM usual UNION ALL SELECT * FROM links WHERE url IS NOT NULL),
     first_ AS (SELECT *, row_number() OVER (PARTITION BY request_id, {Q.first_seen_key('url')}
-      ORDER BY pos) AS rn FROM both_),
-    scorable AS (SELECT request_id, website, pos, url FROM first_ WHERE rn = 1
-      UNION ALL SELECT * FROM (VALUES {Q.values(RULE_ROWS)}) AS v(request_id, website, pos, url)),
+      ORDER BY source, page, pos) AS rn FROM both_),
+    scorable AS (SELECT request_id, website, source, page, pos, url FROM first_ WHERE rn = 1
+      UNION ALL SELECT request_id, website, 2, 0, pos, url FROM (VALUES {Q.values(RULE_ROWS)}) AS v(request_id, website, pos, url)),
     parts AS (SELECT *, lower({Q.path('lower(url)')}) AS p FROM scorable),
-    scored AS (SELECT request_id, website, pos, url, {Q.score_columns('url', 'website')} FROM parts),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) AS rank
+    scored AS (SELECT request_id, website, source, page, pos, url, {Q.score_columns('url', 'website')} FROM parts),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source, page, pos) AS rank
       FROM scored)"""
 
 
-@query("url_scores", f"WITH {SCORABLE_SQL} SELECT request_id, pos, url, score, reason FROM scored")
+@query("url_scores", f"WITH {SCORABLE_SQL} SELECT request_id, source || '.' || page || '.' || pos AS pos, url, score, reason FROM scored")
 def url_scores(spark, folder):
     scored = with_url_score(scorable_urls(spark, folder), "url", "website")
-    return scored.select("request_id", "pos", "url", F.col("score").cast("long"), "reason")
+    return scored.select("request_id", F.concat_ws(".", "pos.*").alias("pos"), "url", F.col("score").cast("long"), "reason")
 
 
 @query(

@@ -309,13 +309,19 @@ def sitemap_hints(spark, folder):
     return discovery.sitemap_hints(hosts(spark, folder)).select("host", "url")
 
 
+def place(source, page, pos):
+    """A position that orders by source, page and place there, however many links."""
+    long = lambda x: (F.lit(x) if isinstance(x, int) else F.col(x)).cast("long")
+    return F.struct(F.lit(source).alias("source"), long(page).alias("page"), long(pos).alias("pos"))
+
+
 def discovered_urls(spark, folder):
     """(request_id, website, pos, url) per host: usual pages, then page links."""
     sites = hosts(spark, folder)
     usual = discovery.candidate_urls(sites).select(
         F.col("host").alias("request_id"),
         "website",
-        F.col("pos").cast("long").alias("pos"),
+        place(0, 0, "pos").alias("pos"),
         "url",
     )
     links = discovery.outlinks(table(spark, folder, "pages"))
@@ -323,7 +329,7 @@ def discovered_urls(spark, folder):
     links = links.select(
         host.alias("request_id"),
         F.concat(F.lit("https://"), host).alias("website"),
-        (F.col("page_id") * 100000 + F.col("pos") + 100).alias("pos"),
+        place(1, "page_id", "pos").alias("pos"),
         U.safe_url(F.col("url")).alias("url"),
     ).where("url is not null")
     both = usual.unionByName(links)
