@@ -8,7 +8,7 @@ from sitewise.functions import html as H
 from sitewise.functions import text as T
 from sitewise.functions import urls as U
 from sitewise.functions.errors import error_text
-from sitewise.functions.events import percent
+from sitewise.functions.events import fallback_outcome, percent
 from sitewise.operators.keyed import join_summary
 
 PAGE_COLUMNS = (
@@ -41,10 +41,15 @@ def shaped_pages(results, output_format="markdown"):
 
 
 def zip_results(urls, results):
-    """Scrape results back to their URLs by position; a URL given back wins."""
-    renamed = results.withColumnRenamed("url", "_given")
-    joined = urls.join(renamed, ["request_id", "pos"], "inner")
-    return joined.withColumn("url", F.coalesce("_given", "url")).drop("_given")
+    """Scrape results next to their URLs by position, for lists of unequal length.
+
+    urls: (request_id, pos, url); results: (request_id, pos, url, ...). Every result
+    stays: the URL it names wins, then the URL at its place; beyond the list it is
+    'unknown'. A URL without a result has no row.
+    """
+    given = results.withColumnRenamed("url", "_given")
+    joined = given.join(urls.select("request_id", "pos", "url"), ["request_id", "pos"], "left")
+    return joined.withColumn("url", F.coalesce("_given", "url", F.lit("unknown"))).drop("_given")
 
 
 def reuse_crawl_content(kept, crawl_pages):
@@ -105,6 +110,35 @@ def fallback_routes(results):
     )
 
 
+def refetched(results, fetches, output_format="markdown"):
+    """``results`` with the pages that are fetched again replaced in their places.
+
+    fetches: (request_id, url, http_status, error_kind, html), one row per plain
+    fetch. Which pages go that way tells ``fallback_routes``; one that has no fetch
+    keeps its failure. Rows that stay are never joined.
+    """
+    routed = fallback_routes(results)
+    columns = results.columns
+    given = fallback_content(fetches, output_format).select(
+        "request_id",
+        "url",
+        fallback_outcome(F.col("http_status"), F.col("error_kind")).alias("_o"),
+        F.col("content").alias("_content"),
+        F.col("format").alias("_format"),
+    )
+    again = routed.where("refetch").join(given, ["request_id", "url"], "left")
+    done = F.col("_o").isNotNull()
+    ok = F.col("_o.status") == "success"
+    new = {
+        "status": F.when(done, F.col("_o.status")).otherwise(F.col("status")),
+        "reason": F.when(done, F.col("_o.reason")).otherwise(F.col("reason")),
+        "human_readable_error": F.when(done, F.col("_o.human_readable_error")).otherwise(F.col("human_readable_error")),
+        "content": F.when(done, F.when(ok, F.col("_content")).otherwise("")).otherwise(F.col("content")),
+        "format": F.when(ok, F.col("_format")).otherwise(F.col("format")),
+    }
+    return again.withColumns(new).select(*columns).unionByName(routed.where("not refetch").select(*columns))
+
+
 def fallback_content(fetched, output_format="markdown"):
     """Content of plainly fetched pages."""
     convert = H.html_to_markdown if output_format == "markdown" else H.html_to_text

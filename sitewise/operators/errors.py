@@ -1,9 +1,12 @@
 """Error enrichment joins and error-code reports."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sitewise import dims
 from sitewise.functions import errors as E
+from sitewise.session import stored
 
 
 def enrich_codes(rows, code="code"):
@@ -50,13 +53,21 @@ def enhanced_log(log):
 
 
 def code_rows(headers, pages):
-    """(request_id, ord, code): the discovery reason first, then failed pages in order."""
+    """(request_id, ord, code): the discovery reason first, then failed pages in order.
+
+    ``pages.ord`` is the struct (source, rank) of the report order; the two sources
+    keep it, and the discovery comes before both.
+    """
     discovery = headers.where(
         (F.col("status") != "success") & (F.coalesce("reason", F.lit("")) != "")
-    ).select("request_id", F.lit(-1).cast("long").alias("ord"), F.col("reason").alias("code"))
+    ).select("request_id", F.struct(F.lit(-1).alias("source"), F.lit(0).cast("long").alias("rank")).alias("ord"), F.col("reason").alias("code"))
     scraping = pages.where(
         (F.col("status") != "success") & (F.coalesce("reason", F.lit("")) != "")
-    ).select("request_id", F.col("pos").cast("long").alias("ord"), F.col("reason").alias("code"))
+    ).select(
+        "request_id",
+        F.struct(F.col("ord.source").cast("int").alias("source"), F.col("ord.rank").cast("long").alias("rank")).alias("ord"),
+        F.col("reason").alias("code"),
+    )
     return discovery.unionByName(scraping)
 
 
@@ -68,24 +79,34 @@ def report_codes(rows):
     )
 
 
-def distinct_codes(results):
-    """Distinct codes over flat results and one nested level of them, as rows.
+def distinct_codes(results, body="results"):
+    """(request_id, code): the different codes of result trees of any depth.
 
-    Input: status, reason, results array<struct<status, reason>>.
+    ``body`` is JSON text: an array of results, or one; a result has a status, a reason
+    and maybe ``results`` of its own, and what is no object has no code. A tree is
+    walked a level at a time, every tree at once; a level is written before the
+    next, so that depth doesn't grow the plan. Text that is no JSON has no codes.
     """
 
-    def code(status, reason):
-        return F.when((status != "success") | status.isNull(), F.nullif(reason, F.lit("")))
-
-    nested = F.transform(
-        F.coalesce("results", F.array().cast("array<struct<status:string,reason:string>>")),
-        lambda row: code(row["status"], row["reason"]),
-    )
-    both = F.array_compact(F.concat(F.array(code(F.col("status"), F.col("reason"))), nested))
-    return (
-        results.select("request_id", F.explode(both).alias("code"))
-        .distinct()
-    )
+    def opened(rows, text):
+        whole = F.try_parse_json(text)
+        many = F.try_variant_get(whole, "$", "array<variant>")
+        return rows.select("request_id", F.explode(F.coalesce(many, F.array(whole))).alias("node"))
+
+    level, found = opened(results.select("request_id", F.col(body).alias("_body")), F.col("_body")), []
+    while True:
+        field = lambda name, kind="string": F.try_variant_get("node", f"$.{name}", kind)
+        read = level.select(
+            "request_id",
+            F.when(field("status").isNull() | (field("status") != "success"), F.nullif(field("reason"), F.lit(""))).alias("code"),
+            F.to_json(field("results", "array<variant>")).alias("_body"),
+        )
+        level = stored(read.where("code is not null or _body is not null"), "tree-level")
+        found.append(level.where("code is not null").select("request_id", "code"))
+        deeper = level.where("_body is not null").select("request_id", "_body")
+        if deeper.isEmpty():
+            return reduce(lambda a, b: a.unionAll(b), found).distinct()
+        level = opened(deeper, F.col("_body"))
 
 
 def error_totals(rows):

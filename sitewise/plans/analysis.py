@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitewise import dims
 from sitewise.operators import content, discovery, ranking
+from sitewise.session import stored
 
 
 def analyze_websites(
@@ -11,6 +12,7 @@ def analyze_websites(
     crawl_jobs,
     crawl_pages,
     scrape_results,
+    fetches=None,
     max_urls=dims.URLS_PER_SITE,
     k=dims.URLS_KEPT,
 ):
@@ -19,7 +21,12 @@ def analyze_websites(
     leads: event data. crawl_jobs: (request_id, crawl_status, crawl_reason).
     crawl_pages: (request_id, pos, url, content, status, has_content).
     scrape_results: one row per (request_id, url) with status, content, format,
-    reason and human_readable_error; a URL without a row was skipped.
+    reason and human_readable_error; a URL without a row was skipped. fetches:
+    (request_id, url, http_status, error_kind, html), the plain fetches; where every
+    scraped page of a lead was refused for payment, they replace the simple pages.
+
+    Each phase is written to the shared folder, so that the next one, the
+    statistics, the log and the reports plan from its files.
     """
     jobs = (
         leads.where(F.coalesce("company_website", F.lit("")) != "")
@@ -36,8 +43,9 @@ def analyze_websites(
     headers, urls = discovery.discover(
         jobs, crawl_pages.select("request_id", "pos", "url"), max_urls
     )
+    headers, urls = stored(headers, "headers"), stored(urls, "urls")
     based = urls.join(headers.select("request_id", "website"), "request_id")
-    ranked = ranking.ranked_urls(based, k)
+    ranked = stored(ranking.ranked_urls(based, k), "ranked")
     kept = ranked.where("kept").select("request_id", "rank", "url")
     delivered = crawl_pages.where("has_content").drop("has_content")
     reused = content.reuse_crawl_content(kept, delivered)
@@ -47,5 +55,7 @@ def analyze_websites(
         .withColumn("reason", F.when(F.col("status").isNull(), "no_api_key").otherwise(F.col("reason")))
         .withColumn("status", F.coalesce("status", F.lit("skipped")))
     )
+    if fetches is not None:
+        scraped = content.refetched(stored(scraped, "scraped"), fetches)
     pages = content.all_content(reused, content.shaped_pages(scraped).drop("pos"))
-    return {"headers": headers, "urls": urls, "ranked": ranked, "pages": pages}
+    return {"headers": headers, "urls": urls, "ranked": ranked, "pages": stored(pages, "pages")}

@@ -21,7 +21,7 @@ WITH s AS (SELECT event_id, event_type, CASE WHEN event_id % 3 > 0 THEN 'e' || e
 """
 
 
-def _signed(events):
+def _signed(events, *kept):
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     lead = F.struct(
         F.concat(F.lit("A"), user).alias("first_name"),
@@ -34,7 +34,7 @@ def _signed(events):
     payload = F.when(kind == "click", F.concat(F.lit("{"), whole)).otherwise(whole)
     mac = F.concat(F.lit("s="), V.hmac_sha256(payload.cast("binary"), KEY))
     return events.select(
-        "event_id", payload.alias("payload"), F.when(kind == "error", "s=00").otherwise(mac).alias("signature")
+        "event_id", payload.alias("payload"), F.when(kind == "error", "s=00").otherwise(mac).alias("signature"), *kept
     )
 
 

@@ -1,6 +1,7 @@
 """Session helpers: a local session for tests, and the shared work folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +38,14 @@ def shared_dir(spark, folder=None):
     if app not in _LOCAL_FOLDERS:
         _LOCAL_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="sitewise-")
     return _LOCAL_FOLDERS[app]
+
+
+def stored(df, name):
+    """``df`` written once to the shared folder and read back.
+
+    Later phases plan from its files, and a lost executor costs a read.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,10 +6,12 @@ from sitewise import schemas
 from sitewise.operators.reports import expired
 
 
-def write_reports(reports, path, mode="append"):
+def write_reports(reports, path, mode="overwrite"):
     """JSON lines by report date; the commit protocol hides unfinished files.
 
-    One dataset with the report name in each row, not one file per lead.
+    One dataset with the report name in each row, not one file per lead. Nulls are
+    written. Only the dates that occur are replaced, so a day that is written again
+    leaves one copy and other days stay.
     """
     rows = reports.withColumn(
         "report_date", F.to_date(F.substring(F.col("_metadata")["saved_at"], 1, 10))
@@ -17,6 +19,7 @@ def write_reports(reports, path, mode="append"):
     (
         rows.write.mode(mode)
         .option("ignoreNullFields", False)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("report_date")
         .json(path)
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.events import is_authentic
 from sitewise.operators.leads import accepted, validated
+from sitewise.session import stored
 from sitewise.sources.leads import decode_envelopes
 
 LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
@@ -49,28 +50,47 @@ def intake(events, key, now):
     return accepted(good.select("request_id", *LEAD_FIELDS), now)
 
 
+def intake_once(events, key, now, lateness="1 day"):
+    """``intake`` in which an event that is delivered again gives no second lead.
+
+    events: payload, signature and ``ts``, the time of the event. A stream keeps the
+    ids it has seen until the watermark has passed them by ``lateness``.
+    """
+    good = sorted_events(events, key).where("refused is null")
+    if good.isStreaming:
+        once = good.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])
+    else:
+        once = good.dropDuplicates(["request_id"])
+    return accepted(once.select("request_id", *LEAD_FIELDS), now)
+
+
 def refused_events(events, key):
     """(payload, signature, refused): every event that gives no lead, with its reason."""
     return sorted_events(events, key).where("refused is not null").select("payload", "signature", "refused")
 
 
-def write_report_stream(leads, build, path, checkpoint):
-    """Analyse and save each micro-batch of leads.
+def saved_batch(build, path):
+    """The work on a micro-batch of leads: reports in a folder of its own.
 
-    ``build`` maps a leads table to reports. A batch overwrites its own folder,
-    so a replay after a lost executor leaves one copy.
+    The leads are written first, so that the stream's state is read once. A batch
+    overwrites its folder: one that runs again after a lost executor leaves one copy.
     """
 
     def save(batch, batch_id):
-        reports = build(batch)
+        reports = build(stored(batch, "leads"))
         (
             reports.write.mode("overwrite")
             .option("ignoreNullFields", False)
             .json(f"{path}/batch={batch_id}")
         )
 
+    return save
+
+
+def write_report_stream(leads, build, path, checkpoint):
+    """Analyse and save each micro-batch of leads; ``build`` maps leads to reports."""
     return (
-        leads.writeStream.foreachBatch(save)
+        leads.writeStream.foreachBatch(saved_batch(build, path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
