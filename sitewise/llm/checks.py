@@ -124,20 +124,15 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 QUALIFY rank <= 3
 """
 
-# Windows of 50 words; the longest level is that of twice, four times, ... as many.
+# Windows of 50 words that an earlier document holds, word by word.
 SUBSTRING_DEDUP = r"""
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-l(n) AS (SELECT 50::BIGINT UNION ALL SELECT 2 * n FROM l WHERE 2 * n <= (SELECT max(len(ws)) FROM d)),
-p AS (SELECT doc_id, ws, n, unnest(range(0, greatest(len(ws) - n + 1, 0))) AS p FROM d, l),
-h AS (SELECT doc_id, n, p, md5_number(array_to_string(list_slice(ws, p + 1, p + n), ' ')) AS h FROM p),
-m AS (SELECT doc_id, n, p FROM h QUALIFY min(doc_id) OVER (PARTITION BY n, h) < doc_id),
-g AS (SELECT doc_id, count(DISTINCT p + k) AS n_removed, list_distinct(list(p + k)) AS gone
-      FROM m, (SELECT unnest(range(0, 50)) AS k) WHERE n = 50 GROUP BY doc_id),
-b AS (SELECT doc_id, max(n) AS longest FROM m GROUP BY doc_id),
-k AS (SELECT d.doc_id, string_agg(w, ' ' ORDER BY i) AS kept
-      FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d) d LEFT JOIN
-           (SELECT doc_id, unnest(gone) AS i FROM g) x USING (doc_id, i) WHERE x.i IS NULL GROUP BY d.doc_id)
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       sha256(coalesce(kept, '')) AS kept_sha256, coalesce(longest, 0)::BIGINT AS longest
-FROM d LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 49, 0))) AS p FROM d),
+h AS (SELECT doc_id, p, md5_number(array_to_string(list_slice(ws, p + 1, p + 50), ' ')) AS h FROM p),
+m AS (SELECT doc_id, p FROM h QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+g AS (SELECT DISTINCT doc_id, p + k AS i FROM m, (SELECT unnest(range(0, 50)) AS k)),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d),
+k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM w ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
 """

@@ -18,7 +18,7 @@ _LAST = np.iinfo(np.int64).max
 _OPEN = -1
 
 
-def levels(length, least=16):
+def levels(length, least=32):
     """Window lengths up to ``length``, each at most twice the one before."""
     out = [length]
     while out[0] > least:
@@ -225,7 +225,7 @@ class Step:
             return parts, [packed([rest[a:b]]) for a, b in zip(begins, ends)]
         _, _, (first, second), least = judged(shard, open_, length)
         parts, begins, ends = _parts(first, self.bits)
-        columns = first.view(np.int64), second.view(np.int64), least
+        columns = first.view(np.int64), (second >> np.uint64(32)).view(np.int64), least
         return parts, [packed([c[a:b] for c in columns]) for a, b in zip(begins, ends)]
 
     def kept(self, shard, open_, k, found):
@@ -359,20 +359,23 @@ def _longer(step, k):
     return longer
 
 
-def remove_repeated_windows(docs, length=50, shard_bytes=4 << 20, part_words=4 << 20, longest=True, with_kept=False):
-    """doc_id, n_words, n_removed, kept_sha256 and longest of every row.
+def remove_repeated_windows(docs, length=50, shard_bytes=4 << 20, part_words=4 << 20, longest=False, with_kept=False):
+    """doc_id, n_words, n_removed and kept_sha256 of every row.
 
     A word is removed if a window of ``length`` words covers it whose word sequence
     also starts in a document with a smaller id; windows are judged on the input.
-    ``longest`` is the longest window tried (``length``, twice it, ...) of which that
-    holds for the document, 0 if none. ``with_kept`` adds the words that stay.
+    ``with_kept`` adds the words that stay.
 
     Level by level: only windows that stand in two documents at one length are
-    extended to twice that length, until none is left open. The first levels halve
-    ``length`` down to 16 words at most; there, a window of the next length stays open
+    extended to twice that length, until none is left open or ``length`` is reached:
+    longer windows are covered by those of ``length`` words inside them and remove
+    nothing more. ``longest`` goes on, to twice ``length`` and so forth until none is
+    left, and adds the column ``longest``: the longest of these windows that an earlier
+    document holds, 0 if none. The first levels halve ``length`` down to 32 words at
+    most; there, a window of the next length stays open
     if its anchor, the smallest hash of a window of this length inside, stands in
     another document too, so that runs of windows ask once. From ``length`` on every
-    open window asks by itself, with 128 bits.
+    open window asks by itself, with 96 bits.
 
     Texts are written as shards of ``shard_bytes``, which hold their words as codes. A
     level is one exchange: each shard asks once for each different hash, whatever its
@@ -423,8 +426,10 @@ def remove_repeated_windows(docs, length=50, shard_bytes=4 << 20, part_words=4 <
     answered = "found array<struct<part:int,shared:binary,earlier:binary>>"
     if last is None:
         last = spark.createDataFrame([], f"shard string, blob binary, {answered}")
+    rows = shards.join(last, "shard", "left")
     if more is None:
-        more = spark.createDataFrame([], "shard string, doc int, length long")
-    more = more.groupBy("shard").agg(F.collect_list(F.struct("doc", "length")).alias("longer"))
-    out = shards.join(last, "shard", "left").join(more, "shard", "left").mapInArrow(_remove(step, decides), _REMOVED)
-    return out if with_kept else out.drop("kept")
+        rows = rows.withColumn("longer", F.lit(None).cast("array<struct<doc:int,length:bigint>>"))
+    else:
+        rows = rows.join(more.groupBy("shard").agg(F.collect_list(F.struct("doc", "length")).alias("longer")), "shard", "left")
+    out = rows.mapInArrow(_remove(step, decides), _REMOVED)
+    return out.drop(*([] if longest else ["longest"]), *([] if with_kept else ["kept"]))

@@ -204,14 +204,17 @@ def test_repeated_windows(spark, given, length, shard_bytes):
     rows += [(4000 + i, f"{i} {passage[: 40 + 9 * i]} {i} {passage}") for i in range(12)]
     rows += [(9001, None), (9002, ""), (9003, "  \n\t "), (9004, passage), (9004, passage), (None, passage), (None, passage), (9005, "word " * 400), (9006, "word " * 90)]
     docs = clashing(spark.createDataFrame(rows, SCHEMA), "kept", "shard", "part", "blob", "found", "longest")
-    got = remove_repeated_windows(docs, length=length, shard_bytes=shard_bytes, with_kept=True)
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(removed(rows, length), key=str)
+    got = remove_repeated_windows(docs, length=length, shard_bytes=shard_bytes, longest=True, with_kept=True)
+    want = sorted(removed(rows, length), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    short = remove_repeated_windows(docs, length=length, shard_bytes=shard_bytes)
+    assert sorted(map(tuple, short.collect()), key=str) == sorted([r[:4] for r in want], key=str)
 
 
 def test_repeated_windows_of_nothing(spark):
     from sitewise.llm.substring_dedup import levels, remove_repeated_windows
 
-    assert levels(50) == [13, 25, 50] and levels(9) == [9]
+    assert levels(50) == [25, 50] and levels(9) == [9] and levels(100) == [25, 50, 100]
     empty = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_windows(empty).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], SCHEMA)
