@@ -107,6 +107,27 @@ class TermHashes(dict):
         return value
 
 
+def words_in(text):
+    """The different words of a text, as bytes: these are split at blanks and at tab to
+    carriage return only."""
+    return set(text.encode().split())
+
+
+def term_hash(word):
+    if len(word) > 1 and word.islower() and word.isalnum():
+        return xxhash.xxh64_intdigest(word) - (1 << 63)
+    term = normal(word.decode())
+    return _hash(term) if len(term) > 1 else 0
+
+
+def known_words(texts, known):
+    """(words of each text, {word: hash of its term} of the known ones among them). A
+    word that many texts of a batch hold is looked up once."""
+    sets = [words_in(t) for t in texts]
+    hashes = ((w, term_hash(w)) for w in set().union(*sets))
+    return sets, {w: h for w, h in hashes if h and known(h)}
+
+
 def bare_words(text, spans):
     """The words of a text that no span touches."""
     if not spans:
@@ -143,7 +164,8 @@ _HOLDERS = "mark long, entities array<bigint>, terms array<bigint>, places array
 @tidy()
 def _holders(batches):
     """Texts that hold an entity: its entities, and the terms with their places; and
-    without a mark, how many terms the texts of an entity hold (``_ANY``: all texts)."""
+    without a mark, how many different words the texts of an entity hold (``_ANY``: all
+    texts)."""
     hashes = TermHashes()
     for batch in batches:
         rows, sizes = [], {}
@@ -154,9 +176,7 @@ def _holders(batches):
             if entities:
                 terms, places = first_places(bare_words(text, spans), hashes)
                 rows.append((_hash(text), [*entities], terms, places))
-                n = len(terms)
-            else:
-                n = len({*map(hashes.__getitem__, _WORD.findall(text))} - {0})
+            n = len(words_in(text))
             for entity in (_ANY, *entities):
                 sizes[entity] = sizes.get(entity, 0) + n
         rows.append((None, [*sizes], [*sizes.values()], None))
@@ -170,28 +190,22 @@ def _columns(parts, names):
 
 
 def _marked(texts, terms, at, columns):
-    """Rows ``columns(text, the terms of it)`` of the texts, for the terms that are
-    among ``terms``; a bitmap rules most others out beforehand."""
+    """Rows ``columns(text, terms of it)`` of the texts that hold some of ``terms``; a
+    bitmap rules most others out beforehand."""
     marks = _marks(terms)
     bits = 8 * len(marks)
 
-    class Wanted(TermHashes):
-        def __missing__(self, word):
-            value = super().__missing__(word)
-            place = value % bits
-            if not marks[place >> 3] & (128 >> (place & 7)):
-                value = self[word] = 0
-            return value
+    def marked(value):
+        place = value % bits
+        return marks[place >> 3] & (128 >> (place & 7))
 
     @tidy()
     def wanted(batches):
-        hashes = Wanted()
         for batch in batches:
-            parts = []
-            for text in batch["text"]:
-                text = text.as_py() or ""
-                parts.append(columns(text, hashes))
-            yield _columns(parts, [at, "term"])
+            texts_ = [t.as_py() or "" for t in batch["text"]]
+            sets, found = known_words(texts_, marked)
+            hit = [(t, {found[w] for w in words & found.keys()}) for t, words in zip(texts_, sets)]
+            yield _columns([columns(t, terms_) for t, terms_ in hit if terms_], [at, "term"])
 
     return texts.mapInArrow(wanted, f"{at} long, term long").distinct().join(terms, "term")
 
@@ -201,11 +215,8 @@ def _places_of(hashes):
 
 
 def _beside(text, wanted, hashes):
-    words = _WORD.findall(text)
-    if not any(map(wanted.__getitem__, set(words))):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     terms, places = first_places(bare_words(text, base_spans(text)), hashes)
-    kept = np.isin(terms, [*{wanted[w] for w in words} - {0}])
+    kept = np.isin(terms, [*wanted])
     return places[kept], terms[kept]
 
 
@@ -220,8 +231,8 @@ def revealing_terms(docs, disclosure=0.5, prior=2.0):
     places of a term whose text holds the entity, smoothed by ``prior`` places at the
     rate of chance; at 0.5 and 2 a term seen in one place discloses nothing, whatever
     the size of the corpus: each place has to be foretold by others. The rate of
-    chance is the entity's share of all words, so long texts, which hold many rare
-    words, count for more.
+    chance is the share of the different words of all texts that stand in texts with
+    the entity, so long texts, which hold many rare words, count for more.
 
     The link must also be beyond chance: the likelihood of so many shared places at
     that rate, by Chernoff's bound, times the number of pairs of term and entity in
@@ -279,7 +290,7 @@ def sanitise(text, spans, revealing, hashes):
     number is generalised to <number>, any other disclosing term is removed."""
     base = sorted(spans, key=lambda s: s[1])
     terms = []
-    if revealing and not revealing.isdisjoint(map(hashes.__getitem__, set(_WORD.findall(text)))):
+    if revealing:
         at, reach = 0, -1
         for m in _WORD.finditer(text):
             while at < len(base) and base[at][1] < m.end():
@@ -320,10 +331,14 @@ def _apply(names, terms):
         hashes = TermHashes()
         for batch in batches:
             rows = []
-            for i, text in enumerate(batch.column(at)):
-                text = text.as_py() or ""
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            sets, found = ([], {}) if terms is None else known_words(texts, terms.__contains__)
+            for i, text in enumerate(texts):
                 base = base_spans(text)
-                revealing = set(batch.column(len(names))[i].as_py() or ()) if terms is None else terms
+                if terms is None:
+                    revealing = set(batch.column(len(names))[i].as_py() or ())
+                else:
+                    revealing = terms if sets[i] & found.keys() else ()
                 spans, clean = sanitise(text, base, revealing, hashes)
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
@@ -382,7 +397,7 @@ def _marks(terms, bits=1 << 26, chunk=1 << 16):
 
 
 def _held(text, wanted):
-    terms = np.array([*{wanted[w] for w in set(_WORD.findall(text))} - {0}], np.int64)
+    terms = np.array([*wanted], np.int64)
     return np.full(len(terms), _hash(text)), terms
 
 

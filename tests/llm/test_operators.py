@@ -353,13 +353,14 @@ def disclosed(texts, least=0.5, prior=2.0):
             if t:
                 first.setdefault(t, (terms[i - 1] if i else "", terms[i + 1] if i + 1 < len(terms) else ""))
         entities = {class_key(k) for k, _, _ in spans} | {entity_key(k, text[a:b]) for k, a, b in spans}
-        total += len(first)
+        n_words = len(set(words(text)))
+        total += n_words
         for t, place in first.items():
             places[t].add(place)
             for e in entities:
                 together[e, t].add(place)
         for e in entities:
-            size[e] += len(first)
+            size[e] += n_words
     out = {}
     for (e, t), seen in together.items():
         k, n, rate = len(seen), len(places[t]), min(size[e] / total, 0.999)
