@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -128,6 +129,18 @@ def known_words(texts, known):
     return sets, {w: h for w, h in hashes if h and known(h)}
 
 
+def sliced(batch, text, most=4 << 20):
+    """A batch in slices of about ``most`` bytes of text, or one longer text: the words
+    of a slice are held at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def bare_words(text, spans):
     """The words of a text that no span touches."""
     if not spans:
@@ -201,7 +214,7 @@ def _marked(texts, terms, at, columns):
 
     @tidy()
     def wanted(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch, 0)):
             texts_ = [t.as_py() or "" for t in batch["text"]]
             sets, found = known_words(texts_, marked)
             hit = [(t, {found[w] for w in words & found.keys()}) for t, words in zip(texts_, sets)]
@@ -329,7 +342,7 @@ def _apply(names, terms):
     @tidy()
     def apply(batches):
         hashes = TermHashes()
-        for batch in batches:
+        for batch in (part for batch in batches for part in sliced(batch, at)):
             rows = []
             texts = [t.as_py() or "" for t in batch.column(at)]
             sets, found = ([], {}) if terms is None else known_words(texts, terms.__contains__)
