@@ -121,88 +121,125 @@ def slow_requests(requests, threshold=1.0):
     )
 
 
+def time_chunks(calls, second, chunk_seconds, most_calls):
+    """``calls`` with ``_who`` and ``chunk``, ordered pieces of a client's history.
+
+    A chunk is a stretch of ``chunk_seconds``, cut at whole seconds into parts of about
+    ``most_calls`` where a client has more. Only counts per second are added up, at
+    most ``chunk_seconds`` of them in a stretch, so however busy a client is its calls
+    are many small groups. ``_who`` stands for the client, also for none.
+    """
+    timed = (
+        calls.withColumn("_who", F.struct("client"))
+        .withColumn("_second", second.cast("long"))
+        .withColumn("_time", F.floor(F.col("_second") / chunk_seconds).cast("long"))
+    )
+    so_far = Window.partitionBy("_who", "_time").orderBy("_second")
+    parts = (
+        timed.groupBy("_who", "_time", "_second")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(so_far) - F.col("_n"))
+        .withColumn("_part", F.floor(F.col("_before") / most_calls).cast("long"))
+        .where("_part > 0")
+        .select("_who", "_second", "_part")
+    )
+    chunk = F.struct("_time", F.coalesce("_part", F.lit(0)).alias("part"))
+    return (
+        timed.join(parts, ["_who", "_second"], "left")
+        .withColumn("chunk", chunk)
+        .drop("_second", "_time", "_part")
+    )
+
+
 def rate_window(
     attempts,
     limit=dims.REQUESTS_PER_MINUTE,
     frame_seconds=60,
     chunk_seconds=3600,
+    most_calls=100_000,
 ):
     """Requests of the client in the trailing minute, exactly 60 s old included.
 
-    A client's history is cut into time chunks and each chunk gets the last
-    minute of the one before as look-back rows, so a hot client is many small
-    windows and not one.
+    Each call comes into the window and goes out again just after its minute; the
+    running sum of these moves is the count, and the next to go is the oldest. The
+    sums are taken inside small chunks, and one row per chunk carries them on, so a
+    busy client or minute is no single task and no call meets all of its minute.
+    Of calls at the same instant only those with a smaller id came before. A call
+    without a time is in no window.
     """
-    frame, chunk = frame_seconds * 1000000, chunk_seconds * 1000000
-    at = F.col("_at")
-    own = F.floor(at / chunk).cast("long")
-    in_tail = at - own * chunk >= chunk - frame
-    homes = F.array_compact(
-        F.array(
-            F.struct(own.alias("chunk"), F.lit(True).alias("own")),
-            F.when(in_tail, F.struct((own + 1).alias("chunk"), F.lit(False).alias("own"))),
-        )
-    )
-    spread = (
-        attempts.withColumn("_at", F.unix_micros("ts"))
-        .withColumn("_home", F.explode(homes))
-        .select("*", "_home.*")
-    )
-    window = (
-        Window.partitionBy("client", "chunk").orderBy("_at").rangeBetween(-frame, 0)
+    frame, at = frame_seconds * 1000000, F.unix_micros("ts")
+    comes = attempts.withColumn("_pos", at).withColumn("_step", F.when(at.isNull(), 0).otherwise(1))
+    goes = attempts.where("ts is not null").select(
+        "client", "event_id", (at + frame + 1).alias("_pos"), at.alias("_went"), F.lit(-1).alias("_step")
+    )
+    moves = comes.unionByName(goes, allowMissingColumns=True)
+    moves = time_chunks(moves, F.floor(F.col("_pos") / 1000000), chunk_seconds, most_calls)
+    order = ("_pos", "_step", "event_id")
+    group, first, last = Window.partitionBy("_who", "chunk"), Window.unboundedPreceding, Window.currentRow
+    up = group.orderBy(*order).rowsBetween(first, last)
+    down = group.orderBy(*[F.desc(c) for c in order]).rowsBetween(first, last)
+    inside = (
+        moves.withColumn("_in", F.sum("_step").over(up) - F.col("_step"))
+        .withColumn("_oldest", F.last("_went", ignorenulls=True).over(down))
+        .where("_step >= 0")
+    )
+    client = Window.partitionBy("_who")
+    earlier = client.orderBy("chunk").rowsBetween(first, -1)
+    later = client.orderBy(F.desc("chunk")).rowsBetween(first, -1)
+    carried = (
+        moves.groupBy("_who", "chunk")
+        .agg(F.sum("_step").alias("_net"), F.min("_went").alias("_first"))
+        .withColumn("_carry", F.coalesce(F.sum("_net").over(earlier), F.lit(0)))
+        .withColumn("_next", F.last("_first", ignorenulls=True).over(later))
+        .select("_who", "chunk", "_carry", "_next")
     )
-    # of calls at the same instant only those with a smaller id came before
-    instant = Window.partitionBy("client", "chunk", "_at")
-    later = F.count("*").over(instant) - F.row_number().over(instant.orderBy("event_id"))
-    wait = F.lit(float(frame_seconds)) - (at - F.col("_oldest")) / 1000000.0
+    wait = F.lit(float(frame_seconds)) - (F.col("_pos") - F.coalesce("_oldest", "_next")) / 1000000.0
     return (
-        spread.withColumn("in_window", F.count("*").over(window) - 1 - later)
-        .withColumn("_oldest", F.min("_at").over(window))
-        .where("own")
+        inside.join(carried, ["_who", "chunk"])
+        .withColumn("in_window", F.when(F.col("_step") == 0, 0).otherwise(F.col("_in") + F.col("_carry")))
         .withColumn("at_limit", F.col("in_window") >= limit)
         .withColumn(
             "wait_seconds",
             F.when(F.col("at_limit"), F.greatest(wait, F.lit(0.0))).otherwise(0.0),
         )
-        .drop("_at", "_home", "chunk", "own", "_oldest")
+        .select(*attempts.columns, "in_window", "at_limit", "wait_seconds")
     )
 
 
-def failure_streak(calls, threshold=dims.CIRCUIT_FAILURES, chunk_seconds=3600):
+def failure_streak(calls, threshold=dims.CIRCUIT_FAILURES, chunk_seconds=3600, most_calls=100_000):
     """Straight failures up to each call of a client, a success resets to zero.
 
-    Streaks are counted inside (client, time chunk); what runs on over a chunk
-    border is carried by one summary row per chunk, so the only per-client
-    ordering is over chunks.
+    Streaks are counted inside small chunks of a client's history; what runs on over
+    a border is carried by one summary row per chunk, so the only per-client
+    ordering is over chunks. Calls without a time come first.
     """
-    rows = Window.partitionBy("client", "chunk").orderBy("ts", "event_id")
+    rows = Window.partitionBy("_who", "chunk").orderBy("ts", "event_id")
+    rows = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     chunked = (
-        calls.withColumn(
-            "chunk", F.floor(F.unix_seconds("ts") / chunk_seconds).cast("long")
-        )
+        time_chunks(calls, F.unix_seconds("ts"), chunk_seconds, most_calls)
         .withColumn("_rn", F.row_number().over(rows))
         .withColumn(
             "_last_ok", F.max(F.when(~F.col("failed"), F.col("_rn"))).over(rows)
         )
     )
-    summary = chunked.groupBy("client", "chunk").agg(
+    summary = chunked.groupBy("_who", "chunk").agg(
         F.count("*").alias("_n"), F.max("_last_ok").alias("_ok")
     )
-    chunks = Window.partitionBy("client").orderBy("chunk")
-    run = Window.partitionBy("client", "_run").orderBy("chunk")
+    chunks = Window.partitionBy("_who").orderBy("chunk")
+    run = Window.partitionBy("_who", "_run").orderBy("chunk")
     carried = (
         summary.withColumn("_trail", F.col("_n") - F.coalesce("_ok", F.lit(0)))
         .withColumn("_run", F.count("_ok").over(chunks))
         .withColumn("_out", F.sum("_trail").over(run))
         .withColumn("_carry", F.lag("_out", 1, 0).over(chunks))
-        .select("client", "chunk", "_carry")
+        .select("_who", "chunk", "_carry")
     )
     streak = F.when(F.col("_last_ok").isNull(), F.col("_rn") + F.col("_carry")).otherwise(
         F.col("_rn") - F.col("_last_ok")
     )
     return (
-        chunked.join(carried, ["client", "chunk"])
+        chunked.join(carried, ["_who", "chunk"])
         .withColumn("streak", streak.cast("long"))
         .withColumn("opens", F.col("streak") >= threshold)
-        .drop("chunk", "_rn", "_last_ok", "_carry")
+        .select(*calls.columns, "streak", "opens")
     )

@@ -21,7 +21,8 @@ def dedup_similar(urls, group, order="pos"):
 def pages_per_lead(leads, pages):
     """Page count and first page of each lead's own site, an equi-join on the domain.
 
-    Pages are reduced to one row per domain before they meet the leads.
+    Pages are reduced to one row per domain before they meet the leads. Leads without
+    a site are spread by a key of their own, which no site has.
     """
     sites = (
         pages.withColumn("site_key", U.site_key(F.col("url")))
@@ -30,6 +31,9 @@ def pages_per_lead(leads, pages):
         .agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
     )
     keyed = leads.withColumn("site_key", U.site_key(F.col("company_website")))
-    return keyed.join(sites, "site_key", "left").withColumn(
+    none = F.concat(F.lit(" "), F.xxhash64(*leads.columns).cast("string"))
+    keyed = keyed.withColumn("_site", F.coalesce("site_key", none))
+    sites = sites.withColumnRenamed("site_key", "_site")
+    return keyed.join(sites, "_site", "left").drop("_site").withColumn(
         "pages", F.coalesce("pages", F.lit(0))
     )

@@ -1,5 +1,7 @@
 """Registered plans of the engine against their check SQL, and wrong results mended."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from sitewise.functions.text import social_links
 from sitewise.functions.events import percent, seconds_of
-from sitewise.operators import leads, runs
+from sitewise.operators import leads, runs, urls
 from sitewise.plans import load_all
 from sitewise.plans.registry import CHECKS, QUERIES
 
@@ -46,6 +48,46 @@ def test_calls_at_one_instant_count_in_order(spark):
     assert [r.in_window for r in out.orderBy("event_id").collect()] == [0, 1, 2]
 
 
+def history(clients, n, draw):
+    """(event_id, client, ts, failed): many calls of one client in few minutes, ties included."""
+    start = 1_704_067_200_000_000
+    ids = draw.sample(range(n), n)
+    spread = [3_000_000 * draw.randrange(2400) if draw.random() < 0.3 else 50_000 * draw.randrange(12_000) for _ in ids]
+    return [(i, draw.choice(clients), start + at, draw.random() < 0.7) for i, at in zip(ids, spread)]
+
+
+@pytest.mark.parametrize("clients", [["c"], ["a", "b", None]])
+def test_busy_client_is_many_chunks(spark, clients):
+    rows = history(clients, 6000, random.Random(3)) + [(9000, "c", None, True)]
+    calls = spark.createDataFrame(rows, "event_id long, client string, at long, failed boolean")
+    calls = calls.select("event_id", "client", F.timestamp_micros("at").alias("ts"), "failed", F.lit("x").alias("chunk_"))
+    order = sorted(rows[:-1], key=lambda r: (r[2], r[0]))
+    streaks, windows, failing, seen = {9000: 1}, {9000: (0, 0.0)}, {"c": 1}, {}
+    for i, client, at, failed in order:
+        failing[client] = failing.get(client, 0) + 1 if failed else 0
+        streaks[i] = failing[client]
+        held = seen[client] = [x for x in seen.get(client, []) if x >= at - 60_000_000]
+        wait = max(0.0, 60 - (at - held[0]) / 1e6) if len(held) >= 5 else 0.0
+        windows[i] = len(held), wait
+        held.append(at)
+    out = runs.failure_streak(calls, threshold=3, most_calls=100)
+    assert out.columns == [*calls.columns, "streak", "opens"]
+    assert {r.event_id: r.streak for r in out.collect()} == streaks
+    out = runs.rate_window(calls, limit=5, most_calls=100).collect()
+    assert len(out) == len(rows)
+    assert {r.event_id: (r.in_window, round(r.wait_seconds, 6)) for r in out} == {i: (n, round(w, 6)) for i, (n, w) in windows.items()}
+    sizes = runs.time_chunks(calls, F.unix_seconds("ts"), 3600, 100).groupBy("_who", "chunk").count()
+    sizes = sorted(r["count"] for r in sizes.collect())
+    assert sizes[-1] <= 2 * max(100, sizes[len(sizes) // 2])
+
+
+def test_leads_without_site_stay_and_spread(spark):
+    leads = spark.createDataFrame([(1, "https://a.com"), (2, None), (3, None), (4, "nowhere.org")], "lead long, company_website string")
+    pages = spark.createDataFrame([(7, "http://a.com/x"), (5, "https://www.a.com"), (6, None)], "page_id long, url string")
+    out = {r.lead: (r.pages, r.first_page) for r in urls.pages_per_lead(leads, pages).collect()}
+    assert out == {1: (2, 5), 2: (0, None), 3: (0, None), 4: (0, None)}
+
+
 def test_social_links_name_their_platform(spark):
     text = "see https://linkedin.com/in/a and www.facebook.com/b"
     links = spark.createDataFrame([(text,)], "t string").select(social_links(F.col("t")).alias("x")).first().x
