@@ -204,8 +204,8 @@ def train(docs, labels, held_out=2, folds=4, most_toxic=1500, most_ordinary=3000
     dictionaries, with at most ``most_words`` distinct words of each text, and at
     most ``most_judged`` others of either class, read whole, for the calibration.
     Only these bounded rows reach the driver. Null ids or labels are no labels; of
-    different labels for an id the highest holds. With no rows of one class every
-    score is one and the same.
+    different labels for an id the highest holds. With no labels or no labelled texts
+    of one class every score is one and the same.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -225,9 +225,9 @@ def train(docs, labels, held_out=2, folds=4, most_toxic=1500, most_ordinary=3000
         cut = min(most, max(len(rows) * 2 // 3, len(rows) - most_judged))
         ids += [(doc_id, toxic, int(i >= cut)) for i, doc_id in enumerate(rows)]
     count = {r["_toxic"]: r["count"] for r in share}
+    constant = lambda p: Model(calibration=(float(np.log(p / (1 - p))), 0.0, 0.0, 0.0, 0.0))
     if not count.get(1) or not count.get(0):
-        prior = 0.99 if count.get(1) else 0.01
-        return Model(calibration=(float(np.log(prior / (1 - prior))), 0.0, 0.0, 0.0, 0.0))
+        return constant(0.99 if count.get(1) else 0.01)
     drawn = spark.createDataFrame(ids, "doc_id long, _toxic int, _fold int")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), "doc_id")
     rows = (
@@ -245,6 +245,8 @@ def train(docs, labels, held_out=2, folds=4, most_toxic=1500, most_ordinary=3000
     ).toPandas()
     if judged["toxic"].nunique() < 2:
         judged = texts.mapInArrow(_evidence(model), "toxic int, evidence double, windows long").toPandas()
+    if judged["toxic"].nunique() < 2:
+        return constant(0.99 if judged["toxic"].any() else 0.01)
     y = judged["toxic"].to_numpy(float)
     weights = fit_logistic(features(judged["evidence"].to_numpy(float), judged["windows"].to_numpy(float)), y)
     # the sample holds more toxic rows than the table: move the prior back
