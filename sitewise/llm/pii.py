@@ -25,6 +25,8 @@ _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = ".,;:!?\"'()[]{}"
 _NUMBER = re.compile(r"[0-9][0-9.,/-]*")
+#: Characters that Arrow may lower otherwise than Python: all but the Latin ones.
+_ODD = r"[^\x{0}-\x{12F}\x{131}-\x{24F}]"
 
 
 def emails(text):
@@ -108,28 +110,56 @@ class TermHashes(dict):
         return value
 
 
-def words_in(text):
-    """The different words of a text, as bytes: these are split at blanks and at tab to
-    carriage return only."""
-    return set(text.encode().split())
-
-
-def term_hash(word):
-    if len(word) > 1 and word.islower() and word.isalnum():
-        return xxhash.xxh64_intdigest(word) - (1 << 63)
-    term = normal(word.decode())
-    return _hash(term) if len(term) > 1 else 0
+def words_of_texts(texts):
+    """(different words of an array of texts, number of each word, text of each word):
+    split at blanks and at tab to carriage return, each different word kept once."""
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    number, owner = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    real = pc.binary_length(coded.dictionary).to_numpy() > 0
+    kept = real[number]
+    return coded.dictionary, number[kept], owner[kept]
+
+
+def different_words(texts):
+    """How many different words each text of an array has."""
+    words, number, owner = words_of_texts(texts)
+    pairs = owner * len(words) + number
+    pairs.sort()
+    new = np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]
+    return np.bincount(pairs[new] // max(1, len(words)), minlength=len(texts))
+
+
+def term_hashes(words):
+    """Hash of the term of each word of an array, 0 for a word that is none."""
+    plain = pc.utf8_lower(pc.ascii_trim(words, characters=_EDGES)).dictionary_encode()
+    terms = plain.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, terms)), ">u8") ^ np.uint64(1 << 63)
+    hashes = hashes.astype(np.uint64).view(np.int64)
+    hashes[pc.utf8_length(plain.dictionary).to_numpy() < 2] = 0
+    hashes = hashes[plain.indices.to_numpy()]
+    odd = pc.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False).astype(bool)
+    own = TermHashes()
+    hashes[odd] = [own[w] for w in words.filter(pa.array(odd)).to_pylist()]
+    return hashes
 
 
 def known_words(texts, known):
-    """(words of each text, {word: hash of its term} of the known ones among them). A
-    word that many texts of a batch hold is looked up once."""
-    sets = [words_in(t) for t in texts]
-    hashes = ((w, term_hash(w)) for w in set().union(*sets))
-    return sets, {w: h for w, h in hashes if h and known(h)}
-
-
-def sliced(batch, text, most=4 << 20):
+    """{place of a text: (hashes of the known terms in it, of all its words in order)}
+    for the texts of an array that hold some; ``known`` tells of an array of hashes
+    which it knows. A word that many texts hold is looked up once."""
+    words, number, owner = words_of_texts(texts)
+    hashes = term_hashes(words)
+    hit = ((hashes != 0) & known(hashes))[number]
+    terms, found = hashes[number], {}
+    for i, term in zip(owner[hit].tolist(), terms[hit].tolist()):
+        found.setdefault(i, set()).add(term)
+    begin, end = np.searchsorted(owner, [*found]), np.searchsorted(owner, [*found], "right")
+    return {i: (held, terms[a:b]) for (i, held), a, b in zip(found.items(), begin, end)}
+
+
+def sliced(batch, text, most=8 << 20):
     """A batch in slices of about ``most`` bytes of text, or one longer text: the words
     of a slice are held at once."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -154,11 +184,16 @@ def bare_words(text, spans):
     return words
 
 
-def first_places(words, hashes):
-    """(terms, place of each): the different terms of a text and the hash of the
-    words beside the first time each stands there. Copies and most near copies of a
-    text have the same places."""
-    terms = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+def bare_terms(text, spans, hashes):
+    """Hashes of the terms of the words that no span touches, in order."""
+    words = bare_words(text, spans)
+    return np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+
+
+def first_places(terms):
+    """(terms, place of each): the different terms of a text, given in order, and the
+    hash of the words beside the first time each stands there. Copies and most near
+    copies of a text have the same places."""
     near = np.r_[np.int64(0), terms, np.int64(0)].view(np.uint64)
     places = near[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (near[2:] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     found, at = np.unique(terms, return_index=True)
@@ -180,16 +215,15 @@ def _holders(batches):
     without a mark, how many different words the texts of an entity hold (``_ANY``: all
     texts)."""
     hashes = TermHashes()
-    for batch in batches:
+    for batch in (part for batch in batches for part in sliced(batch, 0)):
         rows, sizes = [], {}
-        for text in batch["text"]:
+        for text, n in zip(batch["text"], different_words(batch["text"]).tolist()):
             text = text.as_py() or ""
             spans = base_spans(text)
             entities = entities_of(text, spans)
             if entities:
-                terms, places = first_places(bare_words(text, spans), hashes)
+                terms, places = first_places(bare_terms(text, spans, hashes))
                 rows.append((_hash(text), [*entities], terms, places))
-            n = len(words_in(text))
             for entity in (_ANY, *entities):
                 sizes[entity] = sizes.get(entity, 0) + n
         rows.append((None, [*sizes], [*sizes.values()], None))
@@ -203,32 +237,31 @@ def _columns(parts, names):
 
 
 def _marked(texts, terms, at, columns):
-    """Rows ``columns(text, terms of it)`` of the texts that hold some of ``terms``; a
+    """Rows ``columns(text, terms of it, all its terms)`` of the texts that hold some of ``terms``; a
     bitmap rules most others out beforehand."""
     marks = _marks(terms)
-    bits = 8 * len(marks)
 
-    def marked(value):
-        place = value % bits
-        return marks[place >> 3] & (128 >> (place & 7))
+    def marked(hashes):
+        held = np.frombuffer(marks, np.uint8)
+        place = hashes % (8 * len(held))
+        return held[place >> 3] & (128 >> (place & 7)) != 0
 
     @tidy()
     def wanted(batches):
         for batch in (part for batch in batches for part in sliced(batch, 0)):
-            texts_ = [t.as_py() or "" for t in batch["text"]]
-            sets, found = known_words(texts_, marked)
-            hit = [(t, {found[w] for w in words & found.keys()}) for t, words in zip(texts_, sets)]
-            yield _columns([columns(t, terms_) for t, terms_ in hit if terms_], [at, "term"])
+            found = known_words(batch["text"], marked)
+            yield _columns([columns(batch["text"][i].as_py(), *held) for i, held in found.items()], [at, "term"])
 
     return texts.mapInArrow(wanted, f"{at} long, term long").distinct().join(terms, "term")
 
 
 def _places_of(hashes):
-    return lambda text, wanted: _beside(text, wanted, hashes)
+    return lambda text, wanted, terms: _beside(text, wanted, terms, hashes)
 
 
-def _beside(text, wanted, hashes):
-    terms, places = first_places(bare_words(text, base_spans(text)), hashes)
+def _beside(text, wanted, terms, hashes):
+    spans = base_spans(text)
+    terms, places = first_places(bare_terms(text, spans, hashes) if spans else terms)
     kept = np.isin(terms, [*wanted])
     return places[kept], terms[kept]
 
@@ -341,17 +374,17 @@ def _apply(names, terms):
 
     @tidy()
     def apply(batches):
-        hashes = TermHashes()
+        hashes, held = TermHashes(), np.array([*(terms or ())], np.int64)
         for batch in (part for batch in batches for part in sliced(batch, at)):
             rows = []
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            sets, found = ([], {}) if terms is None else known_words(texts, terms.__contains__)
-            for i, text in enumerate(texts):
+            found = known_words(batch.column(at), lambda x: np.isin(x, held)) if len(held) else {}
+            for i, text in enumerate(batch.column(at)):
+                text = text.as_py() or ""
                 base = base_spans(text)
                 if terms is None:
                     revealing = set(batch.column(len(names))[i].as_py() or ())
                 else:
-                    revealing = terms if sets[i] & found.keys() else ()
+                    revealing = found[i][0] if i in found else ()
                 spans, clean = sanitise(text, base, revealing, hashes)
                 count = [sum(s[0] == k for s in base) for k in KINDS]
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
@@ -409,7 +442,7 @@ def _marks(terms, bits=1 << 26, chunk=1 << 16):
     return bytes(out)
 
 
-def _held(text, wanted):
+def _held(text, wanted, _):
     terms = np.array([*wanted], np.int64)
     return np.full(len(terms), _hash(text)), terms
 
