@@ -15,35 +15,67 @@ from sitewise.llm.pii import find_pii
 from sitewise.llm.toxicity import score_toxicity, train
 
 
+def _rows(docs):
+    """``docs`` with a key of each row, and the name of the key: ids may be repeated or
+    null, so rows are told apart by a 64-bit hash of id and text."""
+    name = "_row"
+    while name in docs.columns:
+        name = "_" + name
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
+def _apart(docs):
+    """``docs`` whose other columns than id and text have names that nothing else uses."""
+    own = ("doc_id", "text")
+    return docs.toDF(*[c if c in own else f"_column_{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark, docs, sf_dir):
-    """Documents that the compression distance doesn't call toxic."""
+    """Documents that the compression distance doesn't call toxic. Rows are judged by
+    their text alone: null and empty texts, null and repeated ids alike."""
+    rows = _apart(docs)
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    kept = score_toxicity(rows, model).where("predicted = 0")
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """The document with the smallest id of each class of near copies, once; rows
-    without id stay."""
-    first = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    """The row with the smallest id of each class of near copies, once; a null id is
+    larger than any. Rows equal in id and text are one; other rows of a repeated id are
+    judged each by its text. Texts without words are copies of nothing."""
+    rows, key = _rows(docs)
+    classes = jaccard_join(rows.select(F.col(key).alias("doc_id"), "text"))
+    classes = classes.select(F.col("doc_id").alias(key), "class_id").distinct()
+    ids = rows.select(key, "doc_id").distinct().join(classes, key)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("least")
+    first = ids.groupBy("class_id").agg(least).select(f"least.{key}")
+    kept = rows.join(first, key, "left_semi").dropDuplicates([key, "doc_id"])
+    return kept.select(*docs.columns)
 
 
 def drop_leaks(spark, docs, sf_dir):
-    """Documents that hold no passage of the benchmark."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no passage of the benchmark, each judged by its text: null and
+    repeated ids alike. Null and empty texts stay, and so does all where the benchmark
+    is empty."""
+    rows, key = _rows(docs)
+    texts = rows.select(F.col(key).alias("doc_id"), "text")
+    leaks = find_leaks(texts, table(spark, sf_dir, "benchmark"))
+    leaks = leaks.select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def clean_pii(spark, docs, sf_dir):
-    """Every document, with personal data and what discloses it replaced."""
-    found = find_pii(docs)
+    """Every row, with personal data and what discloses it replaced; a null text is
+    empty then."""
+    rows = _apart(docs)
+    found = find_pii(rows)
     clean = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return found.select(*[clean.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return found.select(*[clean.get(c, F.col(r)).alias(c) for r, c in zip(rows.columns, docs.columns)])
 
 
 def pack(spark, docs, sf_dir):
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null or empty
+    text is its closing token, and repeated rows are packed each."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
