@@ -36,19 +36,26 @@ def enrich_codes(rows, code="code"):
 
 
 def enhanced_log(log):
-    """Step log rows with readable error and suggested action on failures."""
-    failed = (F.col("status") != "success") & (F.coalesce("error_code", F.lit("")) != "")
-    marked = log.withColumn("error_code", F.when(failed, F.col("error_code")))
-    rich = enrich_codes(marked, "error_code")
-    action = F.struct(
-        F.col("action").alias("code"), "title", F.col("guidance").alias("description")
+    """Step log rows with readable error and suggested action on failures.
+
+    An entry fails unless its status is 'success', also without any status; only a
+    failed one with a code keeps it. The 19 codes are enriched once and broadcast, so
+    the log meets one fixed table and keeps columns of any name.
+    """
+    failed = F.coalesce(F.col("status") != "success", F.lit(True)) & (F.col("error_code") != "")
+    action = F.struct(F.col("action").alias("code"), "title", F.col("guidance").alias("description"))
+    known = enrich_codes(dims.error_catalog(log.sparkSession).select("code")).select(
+        F.col("code").alias("_code"),
+        F.col("text").alias("_text"),
+        F.when(F.col("title").isNotNull(), action).alias("_action"),
     )
-    return rich.select(
-        *marked.columns,
-        F.when(F.col("error_code").isNotNull(), F.col("text")).alias(
-            "human_readable_error"
-        ),
-        F.when(F.col("action").isNotNull(), action).alias("suggested_action"),
+    code = F.col("error_code")
+    unknown = F.concat(F.lit("Unknown error: "), code)
+    marked = log.withColumn("error_code", F.when(failed, code))
+    return marked.join(F.broadcast(known), code == F.col("_code"), "left").select(
+        *[F.col(f"`{c}`") for c in marked.columns],
+        F.coalesce("_text", unknown).alias("human_readable_error"),
+        F.col("_action").alias("suggested_action"),
     )
 
 

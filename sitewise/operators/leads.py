@@ -58,6 +58,14 @@ def validated(leads):
     )
 
 
+def requested(leads):
+    """``validated`` for the rows of ``read_leads``: fields of the wrong form come first,
+    and such a body is rejected for them alone."""
+    checked = validated(leads)
+    errors = F.when(F.size("shape_errors") > 0, F.col("shape_errors")).otherwise(F.col("errors"))
+    return checked.withColumn("errors", errors).drop("shape_errors")
+
+
 def accepted(leads, now):
     """Accepted leads as event data: id, time, canonical URLs, message, sources.
 

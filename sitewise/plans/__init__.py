@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("url_queries", "site_queries", "run_queries", "content_queries", "event_queries", "stream_queries", "report_queries")
+MODULES = ("url_queries", "site_queries", "run_queries", "content_queries", "event_queries", "stream_queries", "report_queries", "request_queries")
 
 
 def load_all():
