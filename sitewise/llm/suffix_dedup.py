@@ -23,7 +23,9 @@ def words_at(data, order="<"):
 def anchors(data, length):
     """Per position the smallest hash of a 24-byte string inside the ``length``
     bytes from there. Equal strings have equal anchors, and neighbours mostly the
-    same one, so runs of positions travel together."""
+    same one, so runs of positions travel together. The smallest of many hashes is
+    mostly a small number; multiplied by an odd one, which keeps different anchors
+    apart, its leading bits are even, and so are the groups that they deal."""
     low = words_at(data)
     mixed = low[:-16] * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
@@ -37,7 +39,9 @@ def anchors(data, length):
     while 2 * reach <= span:
         mixed = np.minimum(mixed[:-reach], mixed[reach:])
         reach *= 2
-    return np.minimum(mixed[: len(mixed) - (span - reach)], mixed[span - reach :])
+    least = np.minimum(mixed[: len(mixed) - (span - reach)], mixed[span - reach :])
+    least *= np.uint64(0x9E3779B97F4A7C15)
+    return least
 
 
 def suffix_order(data, n):

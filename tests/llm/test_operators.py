@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -478,3 +479,14 @@ def test_pipeline_keeps_clean_documents(spark):
         assert kept.count() >= 0.8 * docs.count()
         docs = kept
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() > 0.7 * spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_anchors_are_dealt_evenly():
+    from sitewise.llm.suffix_dedup import anchors
+
+    data = random.Random(5).randbytes(400_000)
+    found = np.unique(anchors(data + bytes(66), 50)[:400_000])
+    shares = np.bincount((found >> np.uint64(59)).astype(int), minlength=32) / len(found)
+    assert shares.max() < 1.5 / 32 and shares.min() > 0.5 / 32
+    twice = anchors(data[:500] + data[:500] + bytes(66), 50)
+    assert (twice[:450] == twice[500:950]).all()
