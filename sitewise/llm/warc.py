@@ -144,17 +144,22 @@ def write_archives(pages, folder, min_revisit_bytes=0, date="2024-01-01T00:00:00
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_records(index, folder, with_payload=False, chunk_bytes=32 << 20, gap=64 << 10, most=8 << 20):
+def read_records(index, folder, with_payload=False, chunk_bytes=4 << 20, gap=64 << 10, most=8 << 20, task_bytes=128 << 20):
     """The records of the selected index rows, checked against their digests.
 
     Selected rows are dealt by file and stretch of ``chunk_bytes`` and sorted by
     offset; ranges at most ``gap`` bytes apart become one read of at most ``most``
-    bytes (or one longer record). Repeated index rows are read once each; no
-    rows, no reads.
+    bytes (or one longer record). The number of tasks follows from the bytes to read,
+    not from the narrow index: one for ``task_bytes``, and below that one for each
+    stretch until the cores are used. Repeated index rows are read once each; no rows,
+    no reads.
     """
     from pyarrow import fs
 
-    ship(index.sparkSession)
+    spark = index.sparkSession
+    ship(spark)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, total // task_bytes, min(total // chunk_bytes, 2 * spark.sparkContext.defaultParallelism))
 
     def read(frames):
         store, _ = fs.FileSystem.from_uri(folder)
@@ -184,7 +189,7 @@ def read_records(index, folder, with_payload=False, chunk_bytes=32 << 20, gap=64
     stretch = (F.col("offset") / chunk_bytes).cast("long")
     return (
         index.select("file", "offset", "length", stretch.alias("stretch"))
-        .repartition("file", "stretch")
+        .repartition(tasks, "file", "stretch")
         .sortWithinPartitions("file", "offset")
         .drop("stretch")
         .mapInPandas(read, _RECORD + (", payload binary" if with_payload else ""))
@@ -192,6 +197,11 @@ def read_records(index, folder, with_payload=False, chunk_bytes=32 << 20, gap=64
 
 
 def archive_and_read(pages, folder=None):
-    """Write ``pages`` to archives, then read every record back by the index."""
+    """Write ``pages`` to archives, then read every record back by the index.
+
+    One row for each row of ``pages``: null and empty payloads, repeated rows and pages
+    without id as ``write_archives`` says; no pages, no rows; other columns are ignored.
+    A payload may be as long as a row can be: it is written, read and checked whole.
+    """
     folder = folder or shared_folder(pages.sparkSession, "archives")
     return read_records(write_archives(pages, folder), folder)

@@ -78,7 +78,7 @@ def test_toxicity_learns_and_takes_odd_rows(spark, docs, empty):
 
 def test_warc_round_trip(spark, empty):
     from sitewise.llm.common import shared_folder
-    from sitewise.llm.warc import read_records, write_archives
+    from sitewise.llm.warc import archive_and_read, read_records, write_archives
 
     data = [(1, "http://a/", "same"), (2, "http://b/\n", "same"), (3, None, None), (4, "http://d", ""), (5, "x", "é"), (2, "http://b/\n", "same")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(2)
@@ -96,7 +96,17 @@ def test_warc_round_trip(spark, empty):
     with open(one.file, "rb") as f:
         assert gzip.decompress(f.read()[one.offset : one.offset + one.length]).startswith(b"WARC/1.1\r\n")
     assert read_records(index.where("page_id = 5"), folder).count() == 1
+    long = [(i, "u", f"{i} " * 1_500_000, "x", 1) for i in (1, 2)] + [(3, None, f"{1} " * 1_500_000, "x", 1)]
+    long = spark.createDataFrame(long, "page_id long, url string, html string, file string, offset long")
+    read = archive_and_read(long)
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read.collect()) == [(1, 3_000_000, "revisit", 3), (2, 3_000_000, "response", None), (3, 3_000_000, "response", None)]
     none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert archive_and_read(none).count() == 0
+    many = spark.range(3000).selectExpr("id as page_id", "'u' as url", "repeat(sha2(string(id), 256), 3) as html").repartition(4)
+    held = write_archives(many, shared_folder(spark, "many"))
+    read = read_records(held, folder, chunk_bytes=1 << 12, task_bytes=1 << 15)
+    assert read.rdd.getNumPartitions() == held.agg(F.sum("length")).first()[0] // (1 << 15) > 8
+    assert [r.page_id for r in read.orderBy("page_id").collect()] == list(range(3000))
     assert write_archives(none, shared_folder(spark, "none")).count() == 0
 
 
