@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sitewise.llm.common import written
+
 LEVELS = ("prefix", "host", "domain")
 
 
@@ -51,13 +53,16 @@ def filter_urls(captures, entries):
     host or fetch date is never blocked; other columns are dropped.
 
     The intervals of a pattern meet in one array (at most one per two days of the
-    list's life), so each join is one row of the list to many captures: it never
-    multiplies rows, and Spark may split the captures of a hot host.
+    list's life), so each join is one row of the list to many captures and never
+    multiplies rows. The list is written once: each join then reads both its sides
+    from shuffles, where Spark can split the captures of a hot host among tasks.
+    Without captures there are no rows; without entries nothing is blocked.
     """
     spans = validity(entries)
     listing = spans.groupBy("pattern").agg(
         F.collect_list(F.struct("valid_from", "valid_to")).alias("spans")
     )
+    listing = written(listing, "listing")
     out = captures.select("page_id", "url", "fetch_date").select(
         "*", *[key.alias(f"_{level}") for level, key in url_keys(F.col("url")).items()]
     )

@@ -431,6 +431,31 @@ def test_url_filters(spark):
     hits = {(r.page_id, r.fetch_date): (r.matched_pattern, r.listed_since) for r in out if r.blocked}
     assert hits == {(1, day(3)): ("a.com", day(3)), (1, day(4)): ("a.com", day(3)), (2, day(4)): ("x.a.com/p", day(1))}
     assert len(out) == len(captures)
+    kinds = "page_id long, url string, fetch_date date, pattern string, spans string", "pattern string, entry_date date, seq long, listed boolean, url string"
+    one, none = spark.createDataFrame([(1, "http://a.com/q", day(4), "p", "s")] * 2, kinds[0]), spark.createDataFrame([], kinds[1])
+    assert [(r.page_id, r.blocked, r.matched_pattern) for r in filter_urls(one, none).collect()] == [(1, False, None)] * 2
+    tied = spark.createDataFrame([("a.com", day(3), 1, False, "u"), ("a.com", day(3), 1, True, "u")], kinds[1])
+    assert [r.listed_since for r in filter_urls(one, tied).collect()] == [day(3)] * 2
+    assert filter_urls(one.limit(0), tied).count() == 0
+
+
+def test_hot_host_is_split(spark):
+    from sitewise.llm.url_filters import filter_urls
+
+    captures = spark.range(40_000, numPartitions=8).selectExpr("id as page_id", "if(id % 20 = 0, concat('http://h', id, '.com/'), 'http://hot.com/') as url", "date'2024-01-05' as fetch_date")
+    entries = spark.range(2000).selectExpr("if(id = 0, 'hot.com', concat('h', id * 20, '.com')) as pattern", "date'2024-01-02' as entry_date", "id as seq", "true as listed")
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.advisoryPartitionSizeInBytes": "16k"}
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        out = filter_urls(captures, entries)
+        assert out.where("not blocked").select("page_id").collect() == [(0,)]
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
 
 
 def test_packing(spark, docs, rows, empty):
