@@ -10,7 +10,6 @@ from sitewise.llm.common import let, words_of, written
 #: item's finds them all.
 _BLOCKS, _WIDTH, _FLIPS = 8, 8, 2
 RADIUS = _BLOCKS * (_FLIPS + 1) - 1
-_LANES = 0x0001000100010001
 
 
 def shingle_hashes(text, size):
@@ -26,30 +25,39 @@ def shingle_hashes(text, size):
     return let(words_of(F.lower(text)), grams)
 
 
-def simhash(hashes):
-    """64-bit SimHash of an array of hashes, each weighted by its occurrences.
-
-    The 64 bit counts are kept in 16 sums of four 16-bit lanes, so an array of up to
-    65,535 hashes takes 16 additions per hash.
-    """
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"s{k}") for k in range(16)])
+def _majorities(hashes, width):
+    """The bits that more than half of the hashes have, counted in ``width`` sums of
+    64 / ``width`` lanes."""
+    lanes = range(64 // width)
+    ones, full = F.lit(sum(1 << width * lane for lane in lanes)), F.lit((1 << width) - 1)
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"s{k}") for k in range(width)])
 
     def add(a, h):
-        parts = [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)) for k in range(16)]
-        return F.struct(*[(a[f"s{k}"] + parts[k]).alias(f"s{k}") for k in range(16)])
+        parts = [F.shiftrightunsigned(h, k).bitwiseAND(ones) for k in range(width)]
+        return F.struct(*[(a[f"s{k}"] + parts[k]).alias(f"s{k}") for k in range(width)])
 
     def bits(a, n):
         out = F.lit(0).cast("bigint")
-        for k in range(16):
-            for lane in range(4):
-                count = F.shiftrightunsigned(a[f"s{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-                bit = F.shiftleft((2 * count > n).cast("bigint"), k + 16 * lane)
+        for k in range(width):
+            for lane in lanes:
+                count = F.shiftrightunsigned(a[f"s{k}"], width * lane).bitwiseAND(full)
+                bit = F.shiftleft((2 * count > n).cast("bigint"), k + width * lane)
                 out = out.bitwiseOR(bit)
         return out
 
     return let(F.aggregate(hashes, zero, add), lambda a: bits(a, F.size(hashes)))
 
 
+def simhash(hashes):
+    """64-bit SimHash of an array of hashes, each weighted by its occurrences.
+
+    The 64 bit counts are kept in 16 sums of four 16-bit lanes, which takes 16
+    additions per hash. A sum is signed, so the top lane counts to 32,767: longer
+    arrays take 32 sums of two lanes.
+    """
+    return F.when(F.size(hashes) < 1 << 15, _majorities(hashes, 16)).otherwise(_majorities(hashes, 32))
+
+
 def _block(fingerprint, i):
     return F.shiftrightunsigned(fingerprint, _WIDTH * i).bitwiseAND(F.lit((1 << _WIDTH) - 1)).cast("int")
 
@@ -99,6 +107,8 @@ def find_leaks(docs, items, threshold=0.8, size=5, broadcast_rows=200_000):
     exactly. Items travel to the tasks only while they number at most
     ``broadcast_rows`` rows, else both sides are shuffled.
 
+    Texts and items may be of any length; a long text is one row, of which only the
+    windows around shared shingles are made.
     Null texts are empty; items of fewer than ``size`` words, and null ids, are
     never found; rows equal in id and text count once; repeated items are found
     alike; empty tables give an empty result; other columns are ignored.

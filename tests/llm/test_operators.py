@@ -173,6 +173,21 @@ def test_decontamination(spark, docs, rows, empty, broadcast):
     assert find_leaks(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_simhash_of_long_arrays(spark):
+    from sitewise.llm.decontamination import simhash
+
+    draw = random.Random(9)
+    arrays = [[], [-1], [draw.getrandbits(63) for _ in range(101)], [-1] * 32_767, [-1] * 32_768]
+    arrays += [[-1] * 40_000 + [5] * 39_999 + [draw.getrandbits(64) - (1 << 63) for _ in range(21)]]
+    want = []
+    for values in arrays:
+        held = np.array(values, np.int64).view(np.uint64)
+        bits = [2 * int(((held >> np.uint64(k)) & np.uint64(1)).sum()) > len(values) for k in range(64)]
+        want.append(int(np.array(sum(b << k for k, b in enumerate(bits)), np.uint64).view(np.int64)))
+    frame = spark.createDataFrame(list(enumerate(arrays)), "i int, h array<bigint>")
+    assert [r.s for r in frame.select("i", simhash(F.col("h")).alias("s")).orderBy("i").collect()] == want
+
+
 @pytest.mark.parametrize("block", [1000, 2])
 def test_jaccard_join(spark, docs, rows, empty, block):
     from sitewise.llm.minhash_forest import jaccard_join
