@@ -7,6 +7,10 @@ from pyspark.sql import SparkSession
 
 _LOCAL_FOLDERS = {}
 
+#: Rows of a file of a stored table. URLs of a site are packed to a few bytes each, so
+#: that tasks which are cut by bytes alone hold more rows the larger the table is.
+ROWS_PER_FILE = 50_000
+
 
 def local_session(cores="8", app="sitewise"):
     """Session for tests and the local bench. Clusters bring their own."""
@@ -43,9 +47,11 @@ def shared_dir(spark, folder=None):
 def stored(df, name):
     """``df`` written once to the shared folder and read back.
 
-    Later phases plan from its files, and a lost executor costs a read.
+    Later phases plan from its files, and a lost executor costs a read. A file holds
+    ``ROWS_PER_FILE`` rows at most: each counts with its opening cost, so a task reads
+    about 30 of them, however well they are packed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,5 +1,7 @@
 """Event-driven lead intake and report writing."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from sitewise.functions.events import is_authentic
@@ -9,6 +11,9 @@ from sitewise.sources.leads import decode_envelopes
 
 LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
 
+#: Leads of a batch in a shuffle partition; each has up to 50 URLs and some 20 other rows.
+LEADS_PER_PARTITION = 10_000
+
 
 def sorted_events(events, key):
     """Signed event payloads with ``refused``: why one is no lead, null for leads.
@@ -69,20 +74,39 @@ def refused_events(events, key):
     return sorted_events(events, key).where("refused is not null").select("payload", "signature", "refused")
 
 
+@contextmanager
+def _sized(spark, leads):
+    """Shuffle partitions by the number of leads, at least as many as set.
+
+    A stream's session keeps the number its state began with and has no adaptive plans,
+    so that the tasks of a large batch would grow with it. The number is put back, as the
+    state of the next batch goes by it.
+    """
+    name = "spark.sql.shuffle.partitions"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(usual), -(-leads // LEADS_PER_PARTITION))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def saved_batch(build, path):
     """The work on a micro-batch of leads: reports in a folder of its own.
 
     The leads are written first, so that the stream's state is read once. A batch
     overwrites its folder: one that runs again after a lost executor leaves one copy.
+    A partition holds about ``LEADS_PER_PARTITION`` leads, however large the batch is.
     """
 
     def save(batch, batch_id):
-        reports = build(stored(batch, "leads"))
-        (
-            reports.write.mode("overwrite")
-            .option("ignoreNullFields", False)
-            .json(f"{path}/batch={batch_id}")
-        )
+        leads = stored(batch, "leads")
+        with _sized(leads.sparkSession, leads.count()):
+            (
+                build(leads).write.mode("overwrite")
+                .option("ignoreNullFields", False)
+                .json(f"{path}/batch={batch_id}")
+            )
 
     return save
 

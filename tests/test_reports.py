@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sitewise import session
 from sitewise.operators import content, errors, reports
 from sitewise.plans import load_all
 from sitewise.plans.analysis import analyze_websites
@@ -152,6 +153,35 @@ def test_a_replayed_batch_leaves_one_copy(spark, made):
     assert sorted(r.request_id for r in spark.read.schema(reports.schemas.REPORT).json(path).collect()) == ["r1", "r2"]
 
 
+def test_tasks_of_a_batch_dont_grow_with_it(spark, monkeypatch):
+    name, path, seen = "spark.sql.shuffle.partitions", f"{shared_dir(spark)}/sized", []
+    monkeypatch.setattr(intake, "LEADS_PER_PARTITION", 10)
+    usual = spark.conf.get(name)
+
+    def build(leads):
+        seen.append((leads.sparkSession.conf.get(name), leads.groupBy("request_id").count().rdd.getNumPartitions()))
+        return leads
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in the session of a stream
+    try:
+        for batch_id, n in enumerate((1000, 5)):
+            intake.saved_batch(build, path)(spark.range(n).select(F.col("id").cast("string").alias("request_id")), batch_id)
+            assert spark.conf.get(name) == usual
+        with pytest.raises(ZeroDivisionError):
+            intake.saved_batch(lambda leads: 1 / 0, path)(spark.range(1000), 2)
+        assert spark.conf.get(name) == usual
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert seen == [("100", 100), (usual, int(usual))]
+    assert spark.read.json(path).groupBy("batch").count().orderBy("batch").collect() == [(0, 1000), (1, 5)]
+
+
+def test_a_stored_file_has_a_bound_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_FILE", 100)
+    table = session.stored(spark.range(0, 1000, 1, 1).withColumn("url", F.lit("https://a.com/about")), "urls")
+    assert len(table.inputFiles()) == 10 and table.distinct().count() == 1000
+
+
 def test_stream_equals_its_batch_twin(spark):
     from sitewise.plans import report_queries as q
     from sitewise.plans.stream_queries import KEY, _signed
