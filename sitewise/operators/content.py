@@ -115,17 +115,13 @@ def refetched(results, fetches, output_format="markdown"):
 
     fetches: (request_id, url, http_status, error_kind, html), one row per plain
     fetch. Which pages go that way tells ``fallback_routes``; one that has no fetch
-    keeps its failure. Rows that stay are never joined.
+    keeps its failure. Rows that stay are never joined, and only the html that replaces
+    a page is converted, after the join.
     """
     routed = fallback_routes(results)
     columns = results.columns
-    given = fallback_content(fetches, output_format).select(
-        "request_id",
-        "url",
-        fallback_outcome(F.col("http_status"), F.col("error_kind")).alias("_o"),
-        F.col("content").alias("_content"),
-        F.col("format").alias("_format"),
-    )
+    outcome = fallback_outcome(F.col("http_status"), F.col("error_kind"))
+    given = fetches.select("request_id", "url", outcome.alias("_o"), F.when(outcome["status"] == "success", F.col("html")).alias("_html"))
     again = routed.where("refetch").join(given, ["request_id", "url"], "left")
     done = F.col("_o").isNotNull()
     ok = F.col("_o.status") == "success"
@@ -133,16 +129,20 @@ def refetched(results, fetches, output_format="markdown"):
         "status": F.when(done, F.col("_o.status")).otherwise(F.col("status")),
         "reason": F.when(done, F.col("_o.reason")).otherwise(F.col("reason")),
         "human_readable_error": F.when(done, F.col("_o.human_readable_error")).otherwise(F.col("human_readable_error")),
-        "content": F.when(done, F.when(ok, F.col("_content")).otherwise("")).otherwise(F.col("content")),
-        "format": F.when(ok, F.col("_format")).otherwise(F.col("format")),
+        "content": F.when(done, F.when(ok, _plain_text(F.col("_html"), output_format)).otherwise("")).otherwise(F.col("content")),
+        "format": F.when(ok, F.lit(output_format)).otherwise(F.col("format")),
     }
     return again.withColumns(new).select(*columns).unionByName(routed.where("not refetch").select(*columns))
 
 
+def _plain_text(html, output_format):
+    convert = H.html_to_markdown if output_format == "markdown" else H.html_to_text
+    return T.clean_text(convert(html))
+
+
 def fallback_content(fetched, output_format="markdown"):
     """Content of plainly fetched pages."""
-    convert = H.html_to_markdown if output_format == "markdown" else H.html_to_text
-    return fetched.withColumn("content", T.clean_text(convert(F.col("html")))).withColumn(
+    return fetched.withColumn("content", _plain_text(F.col("html"), output_format)).withColumn(
         "format", F.lit(output_format)
     )
 

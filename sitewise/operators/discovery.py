@@ -7,6 +7,7 @@ from sitewise.functions import html as H
 from sitewise.functions import urls as U
 from sitewise.operators.keyed import first_n
 from sitewise.operators.urls import dedup_first_seen
+from sitewise.session import stored
 
 
 def candidate_urls(sites, site="website"):
@@ -96,7 +97,8 @@ def crawled_urls(crawl_rows, max_urls=dims.URLS_PER_SITE):
         .where(U.is_same_domain(F.col("url"), F.col("website")))
         .select("request_id", "pos", "url")
     )
-    unique = dedup_first_seen(cleaned, ["request_id"])
+    # both results read it: cleaned and compared once
+    unique = stored(dedup_first_seen(cleaned, ["request_id"]), "crawled")
     totals = unique.groupBy("request_id").agg(F.count("*").alias("total_found"))
     kept = first_n(unique, ["request_id"], ["pos"], max_urls or dims.URLS_PER_SITE)
     return (

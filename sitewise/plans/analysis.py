@@ -26,8 +26,10 @@ def analyze_websites(
     scraped page of a lead was refused for payment, they replace the simple pages.
 
     Each phase is written to the shared folder, so that the next one, the
-    statistics, the log and the reports plan from its files.
+    statistics, the log and the reports plan from its files. So are the crawl's pages,
+    which three phases read: what they are parsed from is read once.
     """
+    crawl_pages = stored(crawl_pages, "crawl")
     jobs = (
         leads.where(F.coalesce("company_website", F.lit("")) != "")
         .select("request_id", F.col("company_website").alias("website"))

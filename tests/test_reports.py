@@ -58,6 +58,32 @@ def test_second_fetch_only_where_all_were_refused(spark):
     assert "Read" in text.content and text.format == "markdown" and text.pos == 0
 
 
+def test_only_what_replaces_a_page_is_converted(spark):
+    rows = [("a", "https://a.com/", "error", "http_402")]
+    plain = [("a", "https://a.com/", 200, None, "<h1>Read</h1>"), ("b", "https://b.com/", 200, None, "<h1>Left</h1>")]
+    out = content.refetched(results(spark, rows), spark.createDataFrame(plain, FETCH))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    converted = [i for i, line in enumerate(plan) if "<script" in line]
+    join = min(i for i, line in enumerate(plan) if "Join LeftOuter" in line and "url" in line)
+    assert converted and max(converted) < join
+    assert [(r.status, "Read" in r.content) for r in out.collect()] == [("success", True)]
+
+
+def test_crawl_pages_are_made_once(spark):
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def seen(i):
+        made_rows.add(1)
+        return ("r1", i, f"https://a.com/about/{i}", "text", "success", True)
+
+    crawl = spark.createDataFrame(spark.sparkContext.parallelize(range(20), 2).map(seen), CRAWL)
+    leads = spark.createDataFrame([("r1", "t", "Ann", "Bell", "https://a.com", None)], LEAD)
+    jobs = spark.createDataFrame([("r1", "success", None)], "request_id string, crawl_status string, crawl_reason string")
+    a = analyze_websites(leads, jobs, crawl, spark.createDataFrame([], RESULT))
+    assert a["pages"].where("source = 0").count() == 7 and a["urls"].count() == 20
+    assert made_rows.value == 20
+
+
 def test_codes_of_trees(spark):
     deep = {"status": "success", "reason": "hidden"}
     for i in range(12):
