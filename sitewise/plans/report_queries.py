@@ -459,7 +459,8 @@ def stream_reports(spark, folder):
     events = _stream(spark, folder).withColumn("_again", F.explode(F.array(F.lit(1), F.lit(2))))
     signed = _signed(events, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     new = I.intake_once(signed, KEY, _now(), "60 days")
-    I.write_report_stream(new, lambda batch: streamed_reports(spark, batch), path, checkpoint).awaitTermination()
+    # in the batch's own session, whose partitions follow the leads
+    I.write_report_stream(new, lambda batch: streamed_reports(batch.sparkSession, batch), path, checkpoint).awaitTermination()
     return streamed_digest(spark.read.schema(R.schemas.REPORT).json(path))
 
 
