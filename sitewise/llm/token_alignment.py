@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,32 @@ def vocabularies(*key):
     return _LOADED[key]
 
 
+def _different(values):
+    """The different values in order; by sorting, as most of these arrays are runs."""
+    values = np.sort(values, kind="stable")
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def _joined(ids):
+    """Lists of ids one behind another, and their lengths."""
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
+
+
+def _gives_back(ids, pieces, sizes, given):
+    """Whether the tokens of each part give its bytes back.
+
+    Parts of the right length are compared at once; only where that fails one by one.
+    """
+    flat, n = _joined(ids)
+    right = np.bincount(np.repeat(np.arange(len(n)), n), sizes[flat], len(n)) == np.array([len(x) for x in given], np.int64)
+    held = np.flatnonzero(right).tolist()
+    told = b"".join(map(pieces.__getitem__, flat[np.repeat(right, n)].tolist()))
+    if told != b"".join([given[i] for i in held]):
+        for i in held:
+            right[i] = b"".join(map(pieces.__getitem__, ids[i])) == given[i]
+    return right
+
+
 def aligned(parts, own):
     """Alignment of each part, a blank put before it: (measures, pairs, groups, right).
 
@@ -64,23 +91,15 @@ def aligned(parts, own):
     given = [b" " + p.encode() for p in parts]
     ids_a = [own.a.encode_ordinary(" " + p) for p in parts]
     ids_b = own.b.encode(parts, num_threads=1) if parts else []
-    right = np.array(
-        [
-            b"".join([own.a_bytes[i] for i in a]) == data and b"".join([own.b_bytes[i] for i in b]) == data
-            for a, b, data in zip(ids_a, ids_b, given)
-        ],
-        bool,
-    )
+    right = _gives_back(ids_a, own.a_bytes, own.a_sizes, given) & _gives_back(ids_b, own.b_bytes, own.b_sizes, given)
     held = np.flatnonzero(right)
     measures, groups = np.zeros((4, len(parts)), np.int64), [b""] * len(parts)
     if not len(held):
         return measures, np.empty(0, np.int64), groups, right
-    a = np.concatenate([np.asarray(ids_a[i], np.int64) for i in held])
-    b = np.concatenate([np.asarray(ids_b[i], np.int64) for i in held])
-    n_a, n_b = (np.array([len(x[i]) for i in held]) for x in (ids_a, ids_b))
+    (a, n_a), (b, n_b) = (_joined([x[i] for i in held.tolist()]) for x in (ids_a, ids_b))
     ends_a, ends_b = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
-    ends = np.cumsum([len(given[i]) for i in held])
-    cuts = np.union1d(ends_a, ends_b)
+    ends = np.cumsum([len(given[i]) for i in held.tolist()])
+    cuts = _different(np.concatenate([ends_a, ends_b]))
     pairs = a[np.searchsorted(ends_a, cuts)] << 32 | b[np.searchsorted(ends_b, cuts)]
     common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     n_links = np.bincount(np.searchsorted(ends, cuts), minlength=len(held))
@@ -136,7 +155,7 @@ def shard_row(texts, copies, own):
         if len(code) > 1 and loose[code].any():
             codes[i] = np.array([places[p] for p in _SAFE.split(texts[i])], np.int64)
     parts, texts_n = list(places), len(texts)
-    used = np.unique(np.concatenate(codes)) if texts_n else np.empty(0, np.int64)
+    used = _different(np.concatenate(codes)) if texts_n else np.empty(0, np.int64)
     codes = [np.searchsorted(used, c) for c in codes]
     measures, pairs, groups, right = aligned([parts[i] for i in used], own)
     wrong = [i for i, code in enumerate(codes) if len(code) > 1 and not right[code].all()]
@@ -154,10 +173,10 @@ def shard_row(texts, copies, own):
     # texts that hold a pair, each counted with its copies
     different, of_pair = np.unique(pairs, return_inverse=True)
     begins = np.cumsum(measures[3]) - measures[3]
-    once = np.unique(of * len(groups) + flat)
+    once = _different(of * len(groups) + flat)
     text, part = once // max(len(groups), 1), once % max(len(groups), 1)
     held = np.repeat(text, measures[3][part]) * len(different) + of_pair[spread(begins[part], measures[3][part])]
-    held = np.unique(held)
+    held = _different(held)
     weights = np.bincount(held % max(len(different), 1), np.asarray(copies, float)[held // max(len(different), 1)], len(different))
     return {
         "pairs": different,

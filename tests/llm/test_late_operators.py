@@ -219,3 +219,15 @@ def test_repeated_windows_of_nothing(spark):
     assert remove_repeated_windows(empty).count() == 0
     blank = spark.createDataFrame([(1, None), (2, "")], SCHEMA)
     assert [r.n_words for r in remove_repeated_windows(blank).collect()] == [0, 0]
+
+
+def test_parts_of_the_right_length_are_compared_too():
+    import numpy as np
+
+    from sitewise.llm.token_alignment import _different, _gives_back
+
+    pieces, sizes = [b"a", b"b", b"ab"], np.array([1, 1, 2])
+    ids, given = [[0, 1], [2], [1, 0], [], [0], [2, 0]], [b"ab", b"ab", b"ab", b"", b"b", b"ab"]
+    assert _gives_back(ids, pieces, sizes, given).tolist() == [True, True, False, True, False, False]
+    assert _gives_back(ids[:2], pieces, sizes, given[:2]).all() and not len(_gives_back([], pieces, sizes, []))
+    assert _different(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3] and not len(_different(np.empty(0, np.int64)))
