@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sitewise import dims
 from sitewise.functions import html as H
 from sitewise.functions import urls as U
-from sitewise.operators.keyed import first_n
+from sitewise.operators.keyed import first_n, once
 from sitewise.operators.urls import dedup_first_seen
 from sitewise.session import stored
 
@@ -92,7 +92,7 @@ def crawled_urls(crawl_rows, max_urls=dims.URLS_PER_SITE):
     per request and a table of the counts before that cut.
     """
     cleaned = (
-        crawl_rows.withColumn("url", U.safe_url(F.col("url")))
+        crawl_rows.withColumn("url", once(U.safe_url(F.col("url"))))
         .where(F.col("url").isNotNull())
         .where(U.is_same_domain(F.col("url"), F.col("website")))
         .select("request_id", "pos", "url")
@@ -111,7 +111,7 @@ def with_route(jobs):
     """Add the canonical website and the branch each crawl job takes."""
     status, reason = F.col("crawl_status"), F.col("crawl_reason")
     no_credit = (status == "error") & F.coalesce(reason == "http_402", F.lit(False))
-    return jobs.withColumn("website", U.safe_url(F.col("website"))).withColumn(
+    return jobs.withColumn("website", once(U.safe_url(F.col("website")))).withColumn(
         "route",
         F.when(F.col("website").isNull(), "invalid")
         .when((status == "skipped") | no_credit, "candidates")
@@ -126,7 +126,8 @@ def discover(jobs, crawl_rows, max_urls=dims.URLS_PER_SITE):
     jobs: (request_id, website, crawl_status, crawl_reason); crawl_rows:
     (request_id, pos, url). Returns (headers, urls).
     """
-    routed = with_route(jobs)
+    # every branch reads it: joined and cleaned once
+    routed = stored(with_route(jobs), "routed")
     to_crawl = routed.where("route = 'crawl'").select("request_id", "website")
     crawled, totals = crawled_urls(
         crawl_rows.join(to_crawl, "request_id", "inner"), max_urls

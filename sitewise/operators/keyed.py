@@ -1,9 +1,17 @@
-"""Per-key helpers that stay whole and spread when one key holds most rows."""
+"""Row helpers, and per-key ones that stay whole and spread when one key holds most rows."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
+def once(col):
+    """``col`` as a generated column, nulls kept: worked out once per row.
+
+    A long chain that filters and joins read as well would be copied into each of them.
+    """
+    return F.explode(F.array(col))
+
+
 def keep_first(df, group, key, order):
     """First row per (group, key) by ``order``.
 

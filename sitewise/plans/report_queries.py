@@ -225,7 +225,7 @@ def reports(spark, folder):
     return R.build_reports(leads(spark, folder), a, stored(_log(spark, folder, a), "log"), _now())
 
 
-def digest(found):
+def digest(found, *more):
     """The report in columns, its lists as text."""
     site, meta = F.col("website_analysis"), F.col("_metadata")
     pages = F.transform(
@@ -256,6 +256,7 @@ def digest(found):
         F.array_join(meta["error_summary"]["error_codes"], ",").alias("codes"),
         F.col("linkedin_analysis.url").alias("profile"),
         F.col("error.message").alias("error_message"),
+        *more,
     )
 
 
@@ -320,9 +321,9 @@ def _saved(spark, folder):
 def report_roundtrip(spark, folder):
     """Reports as read back from their files; what is broken there is kept as text."""
     found = files.read_reports(spark, _saved(spark, folder))
-    kept = digest(found.where("_corrupt is null")).select("request_id", "person_name", "discovered", "pages", "codes", "error_message")
-    broken = found.select("request_id", F.col("_corrupt").alias("corrupt")).where("corrupt is not null")
-    return kept.withColumn("corrupt", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+    # the files are parsed once: a broken line keeps its id and its text
+    shown = [F.when(F.col("corrupt").isNull(), F.col(c)).alias(c) for c in ("person_name", "discovered", "pages", "codes", "error_message")]
+    return digest(found, F.col("_corrupt").alias("corrupt")).select("request_id", *shown, "corrupt")
 
 
 @query(

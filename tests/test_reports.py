@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise import session
-from sitewise.operators import content, errors, reports
+from sitewise.operators import content, discovery, errors, reports
 from sitewise.plans import load_all
 from sitewise.plans.analysis import analyze_websites
 from sitewise.plans.registry import QUERIES
@@ -84,6 +84,37 @@ def test_crawl_pages_are_made_once(spark):
     assert made_rows.value == 20
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_urls_of_a_crawl_are_cleaned_once(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = optimized(df)
+        return session.stored(df, name)
+
+    monkeypatch.setattr(discovery, "stored", kept)
+    jobs = [("r1", "https://a.com", "success", None), ("r2", "x:y", "success", None), ("r3", None, "error", "http_402"), ("r4", "d.com", "timeout", None)]
+    jobs = session.stored(spark.createDataFrame(jobs, "request_id string, website string, crawl_status string, crawl_reason string"), "jobs")
+    rows = [("r1", 0, "a.com/about#"), ("r1", 1, "https://www.a.com/team"), ("r1", 2, "https://b.com"), ("r1", 3, None), ("r1", 4, "https://a.com/about/"), ("r9", 0, "a.com")]
+    rows = session.stored(spark.createDataFrame(rows, "request_id string, pos int, url string"), "rows")
+    headers, urls = discovery.discover(jobs, rows)
+    mark = "https?://[^/?#]+/(?:"  # of one step of the cleaning
+    assert {name: plan.count(mark) for name, plan in plans.items()} == {"routed": 1, "crawled": 1}
+    assert mark not in optimized(headers) and mark not in optimized(urls)
+    assert sorted(map(tuple, urls.collect())) == [("r1", 0, "https://a.com/about"), ("r1", 1, "https://www.a.com/team"), ("r4", 0, "https://d.com")]
+    assert {r.request_id: (r.website, r.route) for r in headers.collect()} == {
+        "r1": ("https://a.com", "crawl"), "r2": ("https://x:y", "crawl"), "r3": (None, "invalid"), "r4": ("https://d.com", "site_only")
+    }
+
+
+def test_report_files_are_parsed_once(spark):
+    plan = QUERIES["report_roundtrip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan json") == 1
+
+
 def test_codes_of_trees(spark):
     deep = {"status": "success", "reason": "hidden"}
     for i in range(12):
