@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections import Counter
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +14,9 @@ _LOCAL_FOLDERS = {}
 #: that tasks which are cut by bytes alone hold more rows the larger the table is.
 ROWS_PER_FILE = 50_000
 
+#: (folder, times a name was stored) of the round that is under way; see ``in_place``.
+_ROUND = ContextVar("round", default=None)
+
 
 def local_session(cores="8", app="sitewise"):
     """Session for tests and the local bench. Clusters bring their own."""
@@ -44,6 +50,28 @@ def shared_dir(spark, folder=None):
     return _LOCAL_FOLDERS[app]
 
 
+@contextmanager
+def in_place(folder):
+    """A round of work whose stored tables take the place of those of the round before.
+
+    Rounds in the same ``folder`` store the same names in the same order. What one has
+    stored must not be read after the next has begun.
+    """
+    token = _ROUND.set((folder, Counter()))
+    try:
+        yield
+    finally:
+        _ROUND.reset(token)
+
+
+def _table_path(spark, name):
+    if (current := _ROUND.get()) is None:
+        return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder, times = current
+    times[name] += 1
+    return f"{folder}/{name}-{times[name]}"
+
+
 def stored(df, name):
     """``df`` written once to the shared folder and read back.
 
@@ -52,6 +80,6 @@ def stored(df, name):
     about 30 of them, however well they are packed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    path = _table_path(spark, name)
+    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,13 @@
 """Event-driven lead intake and report writing."""
 
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from sitewise.functions.events import is_authentic
 from sitewise.operators.leads import accepted, validated
-from sitewise.session import stored
+from sitewise.session import in_place, shared_dir, stored
 from sitewise.sources.leads import decode_envelopes
 
 LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
@@ -14,6 +15,9 @@ LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
 #: Leads of a batch in a shuffle partition; each has up to 50 URLs and some 20 other rows.
 LEADS_PER_PARTITION = 10_000
 
+#: Leads of a batch that are analysed at a time; phase tables and shuffles hold some 1.5 KB of each.
+LEADS_PER_SLICE = 1_000_000
+
 
 def sorted_events(events, key):
     """Signed event payloads with ``refused``: why one is no lead, null for leads.
@@ -79,34 +83,53 @@ def _sized(spark, leads):
     """Shuffle partitions by the number of leads, at least as many as set.
 
     A stream's session keeps the number its state began with and has no adaptive plans,
-    so that the tasks of a large batch would grow with it. The number is put back, as the
-    state of the next batch goes by it.
+    so that the tasks of a large batch would grow with it. Shuffle files go when the
+    write that made them has ended: nothing reads them again, and until the driver
+    collects its garbage those of all phases would lie on the disk. Both settings are
+    put back, as the state of the next batch goes by the number.
     """
-    name = "spark.sql.shuffle.partitions"
-    usual = spark.conf.get(name)
-    spark.conf.set(name, str(max(int(usual), -(-leads // LEADS_PER_PARTITION))))
+    partitions = "spark.sql.shuffle.partitions"
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = {partitions: spark.conf.get(partitions), cleanup: spark.conf.get(cleanup, "false")}
+    spark.conf.set(partitions, str(max(int(usual[partitions]), -(-leads // LEADS_PER_PARTITION))))
+    spark.conf.set(cleanup, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, usual)
+        for name, value in usual.items():
+            spark.conf.set(name, value)
 
 
 def saved_batch(build, path):
     """The work on a micro-batch of leads: reports in a folder of its own.
 
-    The leads are written first, so that the stream's state is read once. A batch
-    overwrites its folder: one that runs again after a lost executor leaves one copy.
-    A partition holds about ``LEADS_PER_PARTITION`` leads, however large the batch is.
+    ``build`` maps leads to reports, each lead by itself. The leads are written first,
+    so that the stream's state is read once, and analysed in slices of about
+    ``LEADS_PER_SLICE`` by a hash of their id: the tables of a slice take the place of
+    those before, so that only the reports, packed by gzip, grow with the batch. A
+    partition holds about ``LEADS_PER_PARTITION`` leads.
+
+    A batch overwrites its folder: one that runs again after a lost executor leaves one
+    copy. Until it has ended its folder holds the slices that are done.
     """
+    name = f"batches-{uuid.uuid4().hex}"
 
     def save(batch, batch_id):
-        leads = stored(batch, "leads")
-        with _sized(leads.sparkSession, leads.count()):
-            (
-                build(leads).write.mode("overwrite")
-                .option("ignoreNullFields", False)
-                .json(f"{path}/batch={batch_id}")
-            )
+        work = f"{shared_dir(batch.sparkSession).rstrip('/')}/{name}"
+        with in_place(work):
+            leads = stored(batch, "leads")
+        spark, n = leads.sparkSession, leads.count()
+        slices = max(1, -(-n // LEADS_PER_SLICE))
+        place = F.pmod(F.xxhash64("request_id"), F.lit(slices))
+        for k in range(slices):
+            with _sized(spark, -(-n // slices)), in_place(f"{work}/slice"):
+                part = leads if slices == 1 else leads.where(place == k)
+                (
+                    build(part).write.mode("append" if k else "overwrite")
+                    .option("ignoreNullFields", False)
+                    .option("compression", "gzip")
+                    .json(f"{path}/batch={batch_id}")
+                )
 
     return save
 

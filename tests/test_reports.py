@@ -1,6 +1,7 @@
 """Composed analysis, reports, their files and streams on small cases."""
 
 import json
+import pathlib
 import time
 
 import pytest
@@ -233,6 +234,42 @@ def test_tasks_of_a_batch_dont_grow_with_it(spark, monkeypatch):
     assert spark.read.json(path).groupBy("batch").count().orderBy("batch").collect() == [(0, 1000), (1, 5)]
 
 
+def test_only_the_reports_grow_with_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(intake, "LEADS_PER_SLICE", 250, raising=False)
+    root, folder = shared_dir(spark).removeprefix("file://"), f"{shared_dir(spark)}/sliced"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+    tables = lambda: {str(p.parent) for p in pathlib.Path(root).rglob("*.parquet")}
+    usual, before, files_before, seen = session_settings(spark), tables(), shuffled(), []
+
+    def build(leads):
+        once = session.stored(leads.groupBy("request_id").count().withColumn("text", F.repeat(F.lit("a report "), 1000)), "urls")
+        again = session.stored(once.where("request_id % 2 = 0"), "urls")
+        seen.append(once.count())
+        return once.join(again.select("request_id", F.lit("even").alias("kind")), "request_id", "left")
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in the session of a stream
+    try:
+        save = intake.saved_batch(build, folder)
+        for batch_id, n in ((0, 1000), (0, 1000), (1, 10), (2, 0)):
+            save(spark.range(n).select(F.col("id").cast("string").alias("request_id")), batch_id)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(seen) == 10 and sum(seen) == 2010 and max(seen) < 350
+    made = sorted(p.rsplit("/", 1)[1] for p in tables() - before)
+    assert made == ["leads-1", "urls-1", "urls-2"] and shuffled() <= files_before and session_settings(spark) == usual
+    rows = spark.read.schema("request_id string, count long, kind string, text string, batch int").json(folder)
+    found = rows.groupBy("batch").agg(F.count("*"), F.countDistinct("request_id"), F.count("kind"), F.sum("count"), F.sum(F.length("text")))
+    assert sorted(map(tuple, found.collect())) == [(0, 1000, 1000, 500, 1000, 9_000_000), (1, 10, 10, 5, 10, 90_000)]
+    sizes = [p.stat().st_size for p in pathlib.Path(root, "sliced").rglob("part-*")]
+    assert sum(sizes) < 9_000_000 / 20
+
+
+def session_settings(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    return [spark.conf.get(n, "false") for n in names]
+
+
 def test_a_stored_file_has_a_bound_of_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_PER_FILE", 100)
     table = session.stored(spark.range(0, 1000, 1, 1).withColumn("url", F.lit("https://a.com/about")), "urls")
