@@ -15,7 +15,7 @@ LEAD_FIELDS = ("first_name", "last_name", "company_website", "linkedin")
 #: Leads of a batch in a shuffle partition; each has up to 50 URLs and some 20 other rows.
 LEADS_PER_PARTITION = 10_000
 
-#: Leads of a batch that are analysed at a time; phase tables and shuffles hold some 1.5 KB of each.
+#: Leads of a batch that are analysed at a time; phase tables and shuffles hold some 1.2 KB of each.
 LEADS_PER_SLICE = 1_000_000
 
 
